@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from embervane.functions.json import bind, field, json_type, parsed, unwrapped
-from embervane.session import table
+from embervane.session import Scratch, table
 
 TYPES = ("boolean", "integer", "number", "string", "array", "object")
 
@@ -91,9 +91,14 @@ def renames(rows: DataFrame, difference: DataFrame) -> DataFrame:
 
 
 def changes(rows: DataFrame) -> DataFrame:
-    """(stream_id, file_seq, change_kind, field, new_field): every change against the next lower file of the stream."""
-    diff = _difference(file_schemas(rows))
-    ren = renames(rows, diff)
+    """(stream_id, file_seq, change_kind, field, new_field): every change against the next lower file of the stream.
+
+    The file schemas and their differences, far smaller than the data, are written to the shared scratch
+    folder, so that the lines are parsed once for them and once for the values of renamed fields.
+    """
+    scratch = Scratch(rows.sparkSession)
+    diff = scratch.put(_difference(scratch.put(file_schemas(rows), "schemas")), "difference")
+    ren = scratch.put(renames(rows, diff), "renames")
     involved = ren.select("stream_id", "file_seq", F.explode(F.array(F.struct(F.col("field"), F.lit("removed").alias("kind")), F.struct(F.col("new_field").alias("field"), F.lit("added").alias("kind")))).alias("x")).select("stream_id", "file_seq", "x.*")
     rest = diff.join(involved, ["stream_id", "file_seq", "field", "kind"], "left_anti")
     return rest.select("stream_id", "file_seq", F.col("kind").alias("change_kind"), "field", F.lit("").alias("new_field")).unionByName(ren.select("stream_id", "file_seq", F.lit("renamed").alias("change_kind"), "field", "new_field"))
