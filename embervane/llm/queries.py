@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embervane.llm import calibration, grouping, leakage, mixing, truncation
+from embervane.llm import calibration, grouping, leakage, mixing, neighbours, truncation
 from embervane.session import Scratch, table
 
 
@@ -21,6 +21,14 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return calibration.report(plan, calibration.draw(plan, units))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(*neighbours.spatial(spark, d))
+
+
+def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(*neighbours.spatial(spark, d), k=10, every=50)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     related = grouping.related_sets(grouping.grouped_samples(spark, d))
     return related.where("component <> sample_id").select(F.col("component").alias("sample_id_a"), F.col("sample_id").alias("sample_id_b"))
@@ -69,6 +77,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_sample": p1_sample, "p1_report": p1_report,
+    "p3_found": p3_found, "p3_nearest": p3_nearest,
     "p4_found": p4_found, "p4_splits": p4_splits, "p4_groups": p4_groups,
     "p7_found": p7_found, "p7_items": p7_items,
     "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report,
