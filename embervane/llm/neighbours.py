@@ -33,7 +33,7 @@ def fit_vectors(tokens: DataFrame, outputs: DataFrame) -> DataFrame:
     dims = outputs.where("output_name is not null and embedding_dim is not null").select("output_name", "embedding_dim").distinct()
     # infinite and NaN values make the sum of squares non-finite, nulls make it null
     norm = F.expr("aggregate(embeddings, 0D, (a, x) -> a + cast(x as double) * x, a -> sqrt(a))")
-    t = tokens.where("token_id is not null and embeddings is not null").join(F.broadcast(dims.limit(100_000)), "output_name")
+    t = tokens.where("token_id is not null and embeddings is not null").join(dims, "output_name")
     t = t.where("size(embeddings) = embedding_dim").withColumn("norm", norm).where("norm > 0 and norm < double('infinity')")
     return t.select("token_id", "output_name", "embeddings", "norm")
 
