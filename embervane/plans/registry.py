@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from embervane.plans import curation
+from embervane.plans import curation, evaluation
 
-QUERIES = {**curation.QUERIES}
-SQL = {**curation.SQL}
-FLAGSHIP = "p2_found"
+QUERIES = {**evaluation.QUERIES, **curation.QUERIES}
+SQL = {**evaluation.SQL, **curation.SQL}
+FLAGSHIP = "label_retrieval"
