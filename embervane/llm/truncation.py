@@ -33,8 +33,9 @@ def length_limits(documents: DataFrame) -> DataFrame:
     share of the texts of that length that the density does not explain.
     """
     hist = documents.where("length > 0").groupBy(F.coalesce("source", F.lit("")).alias("source"), "length").agg(F.count(F.lit(1)).alias("n"))
-    hist = Scratch(documents.sparkSession).put(hist.withColumn("x", F.log("length")), "lengths")
-    fit = _moments(hist.withColumn("m", F.col("x")).withColumn("v", F.lit(0.0)))
+    scratch = Scratch(documents.sparkSession)
+    hist = scratch.put(hist.withColumn("x", F.log("length")), "lengths")
+    fit = scratch.put(_moments(hist.withColumn("m", F.col("x")).withColumn("v", F.lit(0.0))), "fit")
     limits = None
     for _ in range(EM_ROUNDS):
         limits = _limits(hist, fit)
@@ -45,7 +46,7 @@ def length_limits(documents: DataFrame) -> DataFrame:
         p = F.coalesce("posterior", F.lit(0.0))
         m = F.col("x") * (1 - p) + p * (F.col("mu") + F.col("sigma") * F.col("h"))
         spread = p * F.col("sigma") ** 2 * F.greatest(F.lit(0.0), 1 + F.col("a") * F.col("h") - F.col("h") ** 2)
-        fit = _moments(e.select("source", "n", m.alias("m"), spread.alias("v")))
+        fit = scratch.put(_moments(e.select("source", "n", m.alias("m"), spread.alias("v"))), "fit")
     return _limits(hist, fit)
 
 
