@@ -198,7 +198,7 @@ def _hits(tokens: DataFrame, outputs: DataFrame, k: int, beam: int, least: float
     return routed.groupBy("output_name", "shard").applyInArrow(lambda key, t: _search(k, beam, least, degree, t), HITS)
 
 
-def nearest(tokens: DataFrame, outputs: DataFrame, k: int = 10, every: int = 1, beam: int = 64, degree: int = 16, probes: int = 8, margin: float = 0.25, **how) -> DataFrame:
+def nearest(tokens: DataFrame, outputs: DataFrame, k: int = 10, every: int = 1, beam: int = 64, degree: int = 16, probes: int = 8, margin: float = 4.0, **how) -> DataFrame:
     """(output_name, token_id, neighbour_id, similarity, rank): the k most similar tokens of the same output.
 
     tokens(token_id, output_name, embeddings), outputs(output_name, embedding_dim). Queries are the tokens whose
