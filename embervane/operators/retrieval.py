@@ -69,7 +69,10 @@ def ranks(queries: DataFrame, gallery: DataFrame, relevance: DataFrame, exclusio
             for b in batches:
                 g = _matrix(b.column("vec"), cosine)
                 at = np.searchsorted(ids, b.column("q").to_numpy())
-                s = np.array([similarity(x[a : a + 1], g[i : i + 1], metric)[0, 0] for i, a in enumerate(at)])
+                s = np.einsum("ij,ij->i", x[at], g)
+                if metric == "squared_l2":
+                    s = 2 * s - (x[at] * x[at]).sum(1) - (g * g).sum(1)
+                s = np.round(s, 10)
                 yield pa.RecordBatch.from_arrays([b.column("q"), b.column("g"), b.column("grade"), pa.array(s, pa.float64())], names=["q", "g", "grade", "score"])
 
         scored = pos_scores.select("q", "g", "grade", "vec").mapInArrow(score, "q bigint, g bigint, grade double, score double")
