@@ -6,10 +6,15 @@ compared with all of them where it lies; only counts are shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from embervane.functions import vectors as V
 from embervane.operators.targets import hash_rank
+from embervane.session import Scratch
 
 #: Most prototype values that are sent to every task.
 MAX_VALUES = 20_000_000
@@ -88,7 +93,6 @@ def exemplars(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
 
 def kmeans_prototypes(rows: DataFrame, counts: DataFrame, rounds: int = 20, seed: int = 42) -> DataFrame:
     """k-means per class (k of ``auto_k``) with numpy, one class a task."""
-    import numpy as np
     import pandas as pd
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
@@ -144,3 +148,112 @@ def stability(scores: DataFrame, level: float = 0.95, keys: tuple[str, ...] = ()
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
     a = scores.groupBy(*keys).agg(F.count("score").alias("n"), F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("std"), F.min("score").alias("low"), F.max("score").alias("high"), F.percentile("score", F.lit(lo)).alias("from"), F.percentile("score", F.lit(hi)).alias("upto"))
     return a.select(*keys, "n", *(F.round(c, 6).alias(c) for c in ("mean", "std", "low", "high", "from", "upto")), F.round(F.col("upto") - F.col("from"), 6).alias("width"))
+
+
+def permuted(place: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Where a seeded permutation of 0..n-1 sends each place: a Feistel network, walked until it is below n."""
+    half = np.uint64(max(1, -(-(n - 1).bit_length() // 2)))
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    keys = np.random.default_rng(seed).integers(0, 1 << 62, 6, dtype=np.uint64)
+    out = place.astype(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = out[todo] >> half, out[todo] & mask
+        for key in keys:
+            mixed = (right + key) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((mixed ^ (mixed >> np.uint64(32))) & mask)
+        out[todo] = (left << half) | right
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
+
+
+def _homes(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _fit(data: DataFrame, k: int, rounds: int) -> np.ndarray:
+    """k-means over all rows: the first k distinct vectors by place, moved until they rest or ``rounds`` are over."""
+    first = data.groupBy("vec").agg(F.min("place").alias("place")).orderBy("place").limit(k).collect()
+    c = np.array([r["vec"] for r in first])
+
+    def sums(c: np.ndarray) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n = np.zeros_like(c), np.zeros(len(c), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    x = _matrix(batch)
+                    home = _homes(x, c)
+                    np.add.at(total, home, x)
+                    n += np.bincount(home, minlength=len(c))
+            yield pa.RecordBatch.from_pydict({"proto": np.arange(len(c)), "n": n, "vec": list(total)})
+
+        return run
+
+    for _ in range(rounds):
+        part = data.select("vec").mapInArrow(sums(c), "proto bigint, n bigint, vec array<double>")
+        part = part.select("proto", "n", F.posexplode("vec").alias("pos", "x")).groupBy("proto", "pos").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+        moved = c.copy()
+        for r in part.where("n > 0").collect():
+            moved[r["proto"], r["pos"]] = r["x"] / r["n"]
+        rests = np.allclose(moved, c, rtol=0, atol=1e-9)
+        c = moved
+        if rests:
+            break
+    return c
+
+
+def continuous_overlap(rows: DataFrame, permutations: int = 20, k: int | None = None, rounds: int = 20, seed: int = 42, normalize: bool = True) -> DataFrame:
+    """rows(row_id, vec, y) to one row (n, n_prototypes, loss, null_loss, loss_ratio, score).
+
+    Prototypes (k, or as ``auto_k`` says) are fitted on the vectors of all rows, each row goes to the nearest; loss
+    is the variance of the target within the prototypes, null_loss the mean of the same over seeded permutations
+    of the target, score 1 - loss / null_loss held to 0..1. A permutation sends each row's place to a slot, and
+    a prototype owns as many slots as it has rows, so that all permutations are summed up in one pass without
+    a shuffle of rows. Rows without a vector or a finite target are left out; a constant target has no score.
+    """
+    vec = V.unit(F.col("vec")) if normalize else V.doubles(F.col("vec"))
+    own = rows.select("row_id", vec.alias("vec"), F.col("y").cast("double").alias("y")).where(V.valid(F.col("vec"), F.size("vec")) & (F.abs("y") < float("inf")))
+    data = Scratch(rows.sparkSession).put(hash_rank(own, [], "row_id", seed, "place").select("place", "vec", "y"), "ranked")
+    size = data.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.min(F.size("vec")).alias("low"), F.max(F.size("vec")).alias("high"))
+    n, mean, low, high, k = auto_k(size, requested=k).select("n", "mean", "low", "high", "k").first()
+    if not n:
+        raise ValueError("no row has a vector and a finite target")
+    if low != high:
+        raise ValueError(f"vectors have lengths from {low} to {high}")
+    c = _fit(data, k, rounds)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(len(c), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                held += np.bincount(_homes(_matrix(batch), c), minlength=len(c))
+        yield pa.RecordBatch.from_pydict({"proto": np.arange(len(c)), "n": held})
+
+    held = {r["proto"]: r["n"] for r in data.select("vec").mapInArrow(count, "proto bigint, n bigint").groupBy("proto").agg(F.sum("n").alias("n")).collect()}
+    ends = np.cumsum([held.get(j, 0) for j in range(len(c))])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((3, permutations + 1, len(c)))  # of ones, y and y * y; the last row is the target as it is
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y, place = batch.column("y").to_numpy() - mean, batch.column("place").to_numpy() - 1
+            for p in range(permutations + 1):
+                home = np.searchsorted(ends, permuted(place, n, seed + p), "right") if p < permutations else _homes(_matrix(batch), c)
+                for at, w in enumerate((None, y, y * y)):
+                    sums[at, p] += np.bincount(home, w, len(c))
+        p, proto = np.divmod(np.arange(sums[0].size), len(c))
+        yield pa.RecordBatch.from_pydict({"p": p, "proto": proto, "n": sums[0].ravel(), "s": sums[1].ravel(), "ss": sums[2].ravel()})
+
+    parts = data.mapInArrow(partial, "p bigint, proto bigint, n double, s double, ss double").groupBy("p", "proto").agg(*(F.sum(x).alias(x) for x in ("n", "s", "ss")))
+    loss = parts.where("n > 0").groupBy("p").agg((F.sum(F.greatest(F.lit(0.0), F.col("ss") - F.col("s") * F.col("s") / F.col("n"))) / n).alias("loss"))
+    actual = F.col("p") == permutations
+    j = loss.agg(F.max(F.when(actual, F.col("loss"))).alias("loss"), F.avg(F.when(~actual, F.col("loss"))).alias("null_loss"))
+    ratio = F.col("loss") / F.nullif(F.col("null_loss"), F.lit(0.0))
+    score = F.when(ratio.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - ratio)))
+    return j.select(F.lit(n).cast("bigint").alias("n"), F.lit(int((np.diff(ends, prepend=0) > 0).sum())).cast("bigint").alias("n_prototypes"), "loss", "null_loss", ratio.alias("loss_ratio"), score.alias("score"))

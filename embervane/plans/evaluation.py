@@ -404,12 +404,14 @@ def overlap_cross_fitted(spark, d):
 
 @query()
 def overlap_continuous(spark, d):
-    """Regression analogue: within-prototype variance of the target against its seeded permutations."""
-    li = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.array(F.col("o_totalprice")).alias("vec"), F.col("o_totalprice").alias("y"))
-    ref = li.agg(F.var_pop("y").alias("null_loss"))
-    cell = F.floor(F.log10(F.col("y") + 1) * 4)
-    loss = li.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.var_pop("y").alias("v")).agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("loss"))
-    return loss.join(F.broadcast(ref)).select(F.round("loss", 2).alias("loss"), F.round("null_loss", 2).alias("null_loss"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("loss") / F.col("null_loss"))), 6).alias("score"))
+    """Regression analogue: variance of the price within prototypes of the standardised quantity, discount and tax
+    against 20 seeded permutations of the price."""
+    li = table(spark, d, "lineitem")
+    names = ("l_quantity", "l_discount", "l_tax")
+    size = li.agg(*(F.avg(c).alias(f"{c}_mean") for c in names), *(F.stddev_pop(c).alias(f"{c}_std") for c in names)).first()
+    vec = F.array(*((F.col(c) - size[f"{c}_mean"]) / (size[f"{c}_std"] or 1.0) for c in names))
+    o = O.continuous_overlap(li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), vec.alias("vec"), F.col("l_extendedprice").alias("y")), normalize=False)
+    return o.select(F.round("loss", 2).alias("loss"), F.round("null_loss", 2).alias("null_loss"), r6("loss_ratio"), r6("score"))
 
 
 # --- probes -----------------------------------------------------------------------------------------------

@@ -64,6 +64,38 @@ def test_overlap_separates(spark):
     assert s["macro"] == s["weighted"] == 1
 
 
+def test_permutation():
+    for n in (1, 2, 7, 1000):
+        p = [O.permuted(np.arange(n), n, seed) for seed in (1, 2)]
+        assert all(sorted(x) == list(range(n)) for x in p) and (n < 1000 or (p[0] != p[1]).any())
+
+
+def test_continuous_overlap(spark):
+    rng = np.random.default_rng(4)
+    x, noise = rng.normal(size=(600, 2)), rng.normal(size=600)
+    frame = lambda y: spark.createDataFrame([(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y))], "row_id bigint, vec array<double>, y double").repartition(3)
+    told = O.continuous_overlap(frame(1e6 + x[:, 0]), normalize=False).first()
+    assert told.n == 600 and told.n_prototypes == 24 and told.score > 0.8
+    assert told.null_loss == pytest.approx(x[:, 0].var() * (1 - 23 / 599), rel=0.02)
+    assert O.continuous_overlap(frame(noise)).first().score < 0.1
+    assert O.continuous_overlap(frame(np.ones(600))).first().score is None
+    y = np.repeat([0.0, 1.0, 9.0], 20)
+    three = [(i, [float(i // 20), 0.0], float(t)) for i, t in enumerate(y)]
+    r = O.continuous_overlap(spark.createDataFrame(three, "row_id bigint, vec array<double>, y double"), k=3, normalize=False).first()
+    assert (r.n_prototypes, r.loss, r.score) == (3, 0, 1)
+
+
+def test_overlap_continuous_reads_the_vectors(spark, tmp_path):
+    from embervane.plans import evaluation
+
+    rng = np.random.default_rng(5)
+    rows = [(i, 1, float(rng.integers(1, 51)), float(rng.integers(0, 11)) / 100, float(rng.integers(0, 9)) / 100, float(np.exp(rng.normal(8, 2)))) for i in range(1000)]
+    li = spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_extendedprice double")
+    li.write.parquet(str(tmp_path / "lineitem.parquet"))
+    li.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("o_totalprice")).write.parquet(str(tmp_path / "orders.parquet"))
+    assert evaluation.QUERIES["overlap_continuous"](spark, str(tmp_path)).first()["score"] < 0.1
+
+
 def test_quantize_and_pca(spark):
     x = np.random.default_rng(2).normal(size=(50, 5))
     x[:, 4] = 0
