@@ -170,14 +170,20 @@ def _search(k: int, beam: int, least: float, degree: int, t: pa.Table) -> pa.Tab
             part = slice(lo, lo + 8192)
             node, sim = graph.search(xs[part], max(beam, k + 1), None if start is None else start[part])
             sim = np.where(node >= 0, sim, -np.inf)
+            # a beam that ends at or above the bound may have no room for the rest: these are compared with the whole shard
+            full = np.flatnonzero(sim[:, -1] >= least) if least > -1 else np.empty(0, np.int64)
+            sim[full] = -np.inf
             r, c = np.nonzero(sim >= least)
-            n = node[r, c]
+            n, sims = node[r, c], sim[r, c]
+            if len(full):
+                more = graph.within(xs[part][full], least)
+                r, n, sims = np.concatenate([r, full[more[0]]]), np.concatenate([n, more[1]]), np.concatenate([sims, more[2]])
             # all copies of a hit where a bound is given, else as many as can be among the k best
             count = from_[n + 1] - from_[n]
             count = count if least > -1 else np.minimum(count, k + 1)
             rep = np.repeat(np.arange(len(r)), count)
             pos = np.repeat(from_[n] - np.concatenate([[0], np.cumsum(count)[:-1]]) if len(n) else from_[n], count) + np.arange(len(rep))
-            who, hit, s = asked[part][r[rep]], own_ids[copies[pos]], sim[r, c][rep]
+            who, hit, s = asked[part][r[rep]], own_ids[copies[pos]], sims[rep]
             keep = who != hit
             who, hit, s = who[keep], hit[keep], s[keep]
             o = np.lexsort((hit, -s, who))
@@ -214,8 +220,8 @@ def nearest(tokens: DataFrame, outputs: DataFrame, k: int = 10, every: int = 1,
 def similar_pairs(tokens: DataFrame, outputs: DataFrame, least: float = 0.95, beam: int = 16, degree: int = 12, **how) -> DataFrame:
     """(token_id_a, token_id_b): pairs of tokens of one output with a cosine similarity of at least ``least``, a < b.
 
-    Both sides of a pair search, so that it is lost only if neither finds the other. A token may have more
-    partners than ``beam`` only as copies of the same vectors; these are all listed.
+    Both sides of a pair search, so that it is lost only if neither finds the other. A token whose beam is full
+    of partners is compared with every vector of the shards it visits; copies of the same vectors are all listed.
     """
     hits = _hits(tokens, outputs, beam - 1, beam, least, 1, degree, **how)
     return hits.select(F.least("token_id", "neighbour_id").alias("token_id_a"), F.greatest("token_id", "neighbour_id").alias("token_id_b")).distinct()

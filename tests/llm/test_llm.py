@@ -79,6 +79,20 @@ def test_neighbours(spark):
     assert N.similar_pairs(t.limit(0), o).count() == 0
 
 
+def test_clusters_larger_than_the_beam(spark):
+    rng = np.random.default_rng(6)
+    x = (np.repeat(rng.normal(size=(3, 32)), (70, 40, 1), 0) + rng.normal(scale=0.05, size=(111, 32))).astype(np.float32)
+    x[5] = x[6]
+    x = np.concatenate([x, rng.normal(size=(300, 32)).astype(np.float32)])
+    t = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(x)], "token_id bigint, output_name string, embeddings array<float>")
+    o = spark.createDataFrame([("a", 32)], "output_name string, embedding_dim int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(u @ u.T >= 0.95))) if i < j}
+    assert len(want) >= 70 * 69 // 2 + 40 * 39 // 2
+    got = [tuple(r) for r in N.similar_pairs(t, o).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_graph_recall_and_degenerate():
     x = np.random.default_rng(5).normal(size=(3000, 24)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
