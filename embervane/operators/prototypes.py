@@ -91,6 +91,12 @@ def exemplars(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return hash_rank(rows, ["label"], "row_id", seed).where(F.col("_rank") <= k).select("label", F.col("row_id").alias("proto_id"), V.unit(F.col("vec")).alias("vec"))
 
 
+def centroids(rows: DataFrame) -> DataFrame:
+    """The mean of all unit rows of each class as its one prototype: (label, proto_id, vec)."""
+    m = rows.where("label is not null").select("label", F.posexplode(V.unit(F.col("vec"))).alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("x"))
+    return m.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("vec")).select("label", F.lit(0).cast("bigint").alias("proto_id"), "vec")
+
+
 def kmeans_prototypes(rows: DataFrame, counts: DataFrame, rounds: int = 20, seed: int = 42) -> DataFrame:
     """k-means per class (k of ``auto_k``) with numpy, one class a task."""
     import pandas as pd

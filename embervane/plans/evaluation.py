@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from embervane.functions import vectors as V
 from embervane.operators import compression as C, probe as P, prototypes as O, results as R, retrieval as T, structured as S, targets as G
-from embervane.session import table
+from embervane.session import Scratch, table
 from embervane.sources import datasets as D, extractors as X
 from embervane.streaming import monitor as M
 
@@ -402,6 +402,47 @@ def overlap_cross_fitted(spark, d):
     return out.groupBy("label").agg(F.round(F.avg("score"), 6).alias("score"))
 
 
+@query()
+def overlap_centroid(spark, d):
+    e = emb(spark, d)
+    return O.overlap_per_class(O.overlap_events(e, Scratch(spark).put(O.centroids(e), "prototypes"))).select("label", "n", r6("score"))
+
+
+def _fitted(spark, rows, on, seed=42):
+    """Events of ``rows`` among prototypes fitted on all rows of ``on``."""
+    return O.overlap_events(rows, Scratch(spark).put(O.kmeans_prototypes(on, O.auto_k(G.class_counts(on, "label")), seed=seed), "prototypes"))
+
+
+@query()
+def overlap_fitted_summary(spark, d):
+    e = emb(spark, d)
+    return O.overlap_summary(O.overlap_per_class(_fitted(spark, e, e)), excluded=(9,))
+
+
+@query()
+def overlap_fitted_pairs(spark, d):
+    e = emb(spark, d)
+    return O.overlap_pairs(_fitted(spark, e, e))
+
+
+@query()
+def overlap_fitted_stability(spark, d):
+    e, out = emb(spark, d), None
+    for seed in range(4):
+        s = O.overlap_per_class(_fitted(spark, e, e, seed)).select(F.lit(seed).alias("repeat"), "label", "score")
+        out = s if out is None else out.unionByName(s)
+    return O.stability(out, keys=("label",))
+
+
+@query()
+def overlap_fitted_cross_fitted(spark, d):
+    e, out = Scratch(spark).put(G.folds(emb(spark, d), "row_id", "label", 3), "folds"), None
+    for f in range(3):
+        own = O.overlap_per_class(_fitted(spark, e.where(F.col("fold") == f), e.where(F.col("fold") != f)))
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("label").agg(F.round(F.avg("score"), 6).alias("score"))
+
+
 @query()
 def overlap_continuous(spark, d):
     """Regression analogue: variance of the price within prototypes of the standardised quantity, discount and tax

@@ -64,6 +64,25 @@ def test_overlap_separates(spark):
     assert s["macro"] == s["weighted"] == 1
 
 
+def test_overlap_over_all_rows(spark, tmp_path):
+    from embervane.plans import evaluation
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 0.02, (200, 8))
+    at = np.arange(200)
+    x[at, (at % 2) * 4] += 1
+    e = spark.createDataFrame([(int(i), v.tolist(), int(i % 2)) for i, v in zip(at, x)], "vec_id bigint, embedding array<float>, label int")
+    e.write.parquet(str(tmp_path / "embeddings.parquet"))
+    c = {r.label: r.vec for r in O.centroids(evaluation.emb(spark, str(tmp_path))).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert all(np.allclose(c[k], u[at % 2 == k].mean(0), atol=1e-6) for k in (0, 1))
+    run = lambda name: evaluation.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.score for r in run("overlap_centroid")} == {1}
+    s = run("overlap_fitted_summary")[0]
+    assert s.macro == s.weighted == 1 and run("overlap_fitted_pairs") == []
+    assert {r["mean"] for r in run("overlap_fitted_stability")} == {r.score for r in run("overlap_fitted_cross_fitted")} == {1}
+
+
 def test_permutation():
     for n in (1, 2, 7, 1000):
         p = [O.permuted(np.arange(n), n, seed) for seed in (1, 2)]
