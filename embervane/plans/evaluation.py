@@ -256,10 +256,15 @@ _GRADED = f"""WITH {E}, {U}, s AS (SELECT q.row_id AS q, g.row_id AS g, CASE WHE
 k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sc DESC, g) AS rk FROM s), p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rk) AS j, row_number() OVER (PARTITION BY q ORDER BY grade DESC, g) AS i FROM k WHERE grade > 0)"""
 
 
-@query(_GRADED + """ SELECT q, count(*) AS n_positive, round(1.0 / min(rk), 6) AS mrr, round(avg(j / rk), 6) AS map, round(sum(CAST(rk <= 5 AS INT)) / 5, 6) AS precision_5, round(sum(CAST(rk <= 5 AS INT)) / count(*), 6) AS recall_5, CAST(min(rk) <= 5 AS DOUBLE) AS hit_5,
-round(sum(CASE WHEN rk <= 5 THEN (pow(2, grade) - 1) / log2(rk + 1) ELSE 0 END) / sum(CASE WHEN i <= 5 THEN (pow(2, grade) - 1) / log2(i + 1) ELSE 0 END), 6) AS ndcg_5 FROM p GROUP BY q""")
+_GRADED_ALL = _GRADED.replace("q.row_id % 50 = 0 AND g.row_id % 50 <> 0 WHERE (q.row_id + g.row_id) % 7 <> 0", "q.row_id % 50 = 0 AND g.row_id <> q.row_id")
+_GRADED_METRICS = """ SELECT q, count(*) AS n_positive, round(1.0 / min(rk), 6) AS mrr, round(avg(j / rk), 6) AS map, round(sum(CAST(rk <= 5 AS INT)) / 5, 6) AS precision_5, round(sum(CAST(rk <= 5 AS INT)) / count(*), 6) AS recall_5, CAST(min(rk) <= 5 AS DOUBLE) AS hit_5,
+round(sum(CASE WHEN rk <= 5 THEN (pow(2, grade) - 1) / log2(rk + 1) ELSE 0 END) / sum(CASE WHEN i <= 5 THEN (pow(2, grade) - 1) / log2(i + 1) ELSE 0 END), 6) AS ndcg_5 FROM p GROUP BY q"""
+
+
+@query(_GRADED + _GRADED_METRICS)
 def graded_retrieval(spark, d):
-    """Graded relevance with exclusions; queries are the rows whose id is divisible by 50, against all others."""
+    """Graded relevance with exclusions; queries are the rows whose id is divisible by 50, against the rest without
+    the pairs whose ids sum to a multiple of 7. ``graded_retrieval_all`` searches every row."""
     e = emb(spark, d)
     q, g = e.where("row_id % 50 = 0"), e.where("row_id % 50 <> 0")
     rel = q.select(F.col("row_id").alias("q"), "label").join(g.select(F.col("row_id").alias("g"), "label"), "label").select("q", "g", (1 + F.col("g") % 3).alias("grade"))
@@ -269,6 +274,16 @@ def graded_retrieval(spark, d):
     return m.select("q", "n_positive", *(r6(c) for c in ("mrr", "map", "precision_5", "recall_5", "hit_5", "ndcg_5")))
 
 
+@query(_GRADED_ALL + _GRADED_METRICS)
+def graded_retrieval_all(spark, d):
+    """Graded relevance; queries are the rows whose id is divisible by 50, against all rows but themselves."""
+    e = emb(spark, d)
+    q = e.where("row_id % 50 = 0")
+    rel = q.select(F.col("row_id").alias("q"), "label").join(e.select(F.col("row_id").alias("g"), "label"), "label").where("q <> g").select("q", "g", (1 + F.col("g") % 3).alias("grade"))
+    r = T.ranks(q.select(F.col("row_id").alias("q"), "vec"), e.select(F.col("row_id").alias("g"), "vec"), rel, exclude_self=True)
+    return T.query_metrics(r, ks=(5,)).select("q", "n_positive", *(r6(c) for c in ("mrr", "map", "precision_5", "recall_5", "hit_5", "ndcg_5")))
+
+
 # --- zero-shot --------------------------------------------------------------------------------------------
 
 _PROMPT = f"row_number() OVER (PARTITION BY label ORDER BY {MD5.format('row_id')}, row_id)"

@@ -83,6 +83,20 @@ def test_overlap_over_all_rows(spark, tmp_path):
     assert {r["mean"] for r in run("overlap_fitted_stability")} == {r.score for r in run("overlap_fitted_cross_fitted")} == {1}
 
 
+def test_graded_retrieval_searches_all_rows(spark, tmp_path):
+    from embervane.plans import evaluation
+
+    x = np.random.default_rng(8).normal(size=(120, 6))
+    spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.q: r for r in evaluation.QUERIES["graded_retrieval_all"](spark, str(tmp_path)).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (0, 50, 100):
+        order = [int(g) for g in np.argsort(-(u @ u[q])) if g != q]
+        first = next(k for k, g in enumerate(order, 1) if g % 2 == q % 2)
+        assert got[q].n_positive == 59 and got[q].mrr == round(1 / first, 6)
+        assert got[q].precision_5 == sum(g % 2 == q % 2 for g in order[:5]) / 5
+
+
 def test_permutation():
     for n in (1, 2, 7, 1000):
         p = [O.permuted(np.arange(n), n, seed) for seed in (1, 2)]
