@@ -30,8 +30,15 @@ def recommendation(score: Column, width: Column | None = None, weakest: Column |
     return F.concat_ws("; ", *parts)
 
 
-def latency_profile(calls: DataFrame, value: str, keys: tuple[str, ...]) -> DataFrame:
-    """Count, median, 95th percentile, maximum and mean of the warm calls (all but the first of each key)."""
+def latency_profile(calls: DataFrame, value: str, keys: tuple[str, ...], order: tuple[str, ...] = ()) -> DataFrame:
+    """Count, median, 95th percentile, maximum and mean of the calls; with ``order``, columns that tell the calls of
+    a key apart, of the warm ones: all but the first of each key."""
+    if order:
+        first = calls.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(F.min(F.struct(*order)).alias("_first"))
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        calls = calls.join(F.broadcast(first), on).where(~F.struct(*order).eqNullSafe(F.col("_first")))
     return calls.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.median(value), 6).alias("median"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"), F.round(F.max(value), 6).alias("largest"), F.round(F.avg(value), 6).alias("mean"))
 
 

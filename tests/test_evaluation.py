@@ -97,6 +97,11 @@ def test_graded_retrieval_searches_all_rows(spark, tmp_path):
         assert got[q].precision_5 == sum(g % 2 == q % 2 for g in order[:5]) / 5
 
 
+def test_warm_latency(spark):
+    c = spark.createDataFrame([("a", 2, 1.0), ("a", 1, 90.0), ("a", 3, 3.0), (None, 1, 80.0), (None, 2, 2.0)], "k string, at int, v double")
+    assert {(r.k, r.n, r["mean"], r.largest) for r in R.latency_profile(c, "v", ("k",), ("at",)).collect()} == {("a", 2, 2.0, 3.0), (None, 1, 2.0, 2.0)}
+
+
 def test_permutation():
     for n in (1, 2, 7, 1000):
         p = [O.permuted(np.arange(n), n, seed) for seed in (1, 2)]
