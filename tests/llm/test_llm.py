@@ -234,3 +234,13 @@ def test_limits(spark):
     rows = [("s", int(min(v, 500))) for v in n] + [("t", int(v)) for v in n]
     lim = T.length_limits(spark.createDataFrame(rows, "source string, length int")).collect()
     assert [(r.source, r.length) for r in lim] == [("s", 500)] and lim[0].posterior > 0.95
+
+
+def test_long_tags_inside_a_passage(spark):
+    item = [f"word{i}" for i in range(16)]
+    tags = ['<img alt="' + "many words " * 40 + '" src="data:image/png;base64,' + "QUJD" * 80 + '"/>', '<a hidden href=' + "x" * 300 + ">", "<!-- " + "remark " * 50 + "-->"]
+    prose = " <b then " + "filler " * 60 + " > "
+    docs = [(k, " ".join(item[:8]) + " " + t + " " + " ".join(item[8:])) for k, t in enumerate(tags)]
+    docs += [(8, "if a" + prose.replace("filler", " ".join(item)) + "c"), (9, " ".join(item[:8]) + " plain words " + " ".join(item[8:]))]
+    found = L.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string"))
+    assert sorted(r.doc_id for r in found.collect()) == [0, 1, 2, 8]
