@@ -20,6 +20,7 @@ from embervane.session import Scratch, empty, table
 UNKNOWN = ("", "-", "--", "?", "n/a", "na", "none", "null", "nan", "nil", "unknown", "not known", "unspecified", "missing")
 #: Links up to which the graph of colliding labels is merged in one task (two bigints a link).
 SMALL_GRAPH = 1_000_000
+MAX_SPLITS = 1000
 BUCKETS = 1024
 
 
@@ -109,6 +110,11 @@ def components(edges: DataFrame, scratch: Scratch, share: int = 8, depth: int =
     return top.join(low, "label").select("node", F.col("low").alias("label"))
 
 
+def links(held: DataFrame) -> DataFrame:
+    """held(reps) to (u, v): the first representative of each list with every other."""
+    return held.where("size(reps) > 1").select(F.element_at("reps", 1).alias("u"), F.explode(F.slice("reps", F.lit(2), F.size("reps"))).alias("v"))
+
+
 def related_sets(samples: DataFrame, scratch: Scratch | None = None, **how: int) -> DataFrame:
     """(sample_id, dataset_key, component): the smallest sample_id related to each sample, itself if there is none.
 
@@ -121,8 +127,7 @@ def related_sets(samples: DataFrame, scratch: Scratch | None = None, **how: int)
     rep = m.groupBy("dataset_key", "key").agg(F.min("sample_id").alias("rep"))
     # a null dataset is a dataset of its own
     held = scratch.put(m.join(rep, m["dataset_key"].eqNullSafe(rep["dataset_key"]) & (m["key"] == rep["key"])).groupBy("sample_id").agg(F.array_sort(F.collect_set("rep")).alias("reps")), "held")
-    edges = held.where("size(reps) > 1").select(F.element_at("reps", 1).alias("u"), F.explode(F.slice("reps", 2, 1_000_000)).alias("v"))
-    labels = components(edges, scratch, **how)
+    labels = components(links(held), scratch, **how)
     anchor = held.select("sample_id", F.element_at("reps", 1).alias("anchor"))
     own = samples.where("sample_id is not null").select("sample_id", "dataset_key").distinct().join(anchor, "sample_id", "left")
     return own.join(labels, own["anchor"] == labels["node"], "left").select("sample_id", "dataset_key", F.coalesce("label", "anchor", "sample_id").alias("component"))
@@ -144,7 +149,9 @@ def assign_splits(related: DataFrame, targets: DataFrame) -> DataFrame:
     inner = F.sum("n").over(W.partitionBy("dataset_key", "bucket").orderBy("h", "component"))
     placed = sizes.withColumn("cum", inner).alias("s").join(bucket.alias("b"), F.col("s.dataset_key").eqNullSafe(F.col("b.dataset_key")) & (F.col("s.bucket") == F.col("b.bucket")))
     placed = placed.select("s.dataset_key", "component", ((F.col("start") + F.col("cum") - F.col("n") / 2.0) / F.col("total")).alias("at"))
-    cuts = sorted((r["split_name"], float(r["target_share"])) for r in targets.where("target_share > 0 and split_name is not null").distinct().limit(1000).collect())  # a list of splits, not data
+    cuts = sorted((r["split_name"], float(r["target_share"])) for r in targets.where("target_share > 0 and split_name is not null").distinct().limit(MAX_SPLITS + 1).collect())  # a list of splits, not data
+    if len(cuts) > MAX_SPLITS:
+        raise ValueError(f"more than {MAX_SPLITS} splits")
     whole, upto, choice = sum(s for _, s in cuts), 0.0, None
     for name, share in cuts:
         upto += share / whole

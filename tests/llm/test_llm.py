@@ -244,3 +244,12 @@ def test_long_tags_inside_a_passage(spark):
     docs += [(8, "if a" + prose.replace("filler", " ".join(item)) + "c"), (9, " ".join(item[:8]) + " plain words " + " ".join(item[8:]))]
     found = L.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string"))
     assert sorted(r.doc_id for r in found.collect()) == [0, 1, 2, 8]
+
+
+def test_links_and_splits_are_not_cut(spark):
+    held = spark.range(1).select(F.sequence(F.lit(1), F.lit(1_000_003)).alias("reps"))
+    assert G.links(held).count() == 1_000_002
+    related = spark.createDataFrame([(1, "d", 1)], "sample_id bigint, dataset_key string, component bigint")
+    many = spark.range(1001).selectExpr("cast(id as string) as split_name", "1.0 as target_share")
+    with pytest.raises(ValueError, match="more than 1000 splits"):
+        G.assign_splits(related, many)
