@@ -132,7 +132,7 @@ def _read(value: str, kind: str) -> Column:
 def unified(rows: DataFrame, fused: list[tuple[str, list[str], str]]) -> DataFrame:
     """One wide table of all rows: a canonical column per field, and a branch ``<column>_as_<type>`` per type of
     a field with several. ``fused`` holds (field, types, canonical) of the fused schema; it is as large as the
-    schema, not the data. Repeated deliveries of a line give one row.
+    schema, not the data. Repeated deliveries of a line give one row; lines without an id are all kept.
     """
     keys = ["line_id", "stream_id", "file_seq", "line_no", "row_no", "evaluation_index", "status"]
     names = column_names([f for f, _, _ in fused], tuple(keys))
@@ -142,7 +142,8 @@ def unified(rows: DataFrame, fused: list[tuple[str, list[str], str]]) -> DataFra
         cols.append(_read(v, "any" if canonical == "string" and types != ["string"] else canonical).alias(names[f]))
         if len(types) > 1:
             cols += [_read(v, t).alias(f"{names[f]}_as_{t}") for t in types]
-    return rows.dropDuplicates(["line_id", "row_no"]).select(*keys, *cols)
+    own = rows.withColumn("__own", F.when(F.col("line_id").isNull(), F.monotonically_increasing_id()))
+    return own.dropDuplicates(["line_id", "row_no", "__own"]).select(*keys, *cols)
 
 
 def monitor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,11 +70,13 @@ def children(df: DataFrame, id_col: str, payloads: dict[str, str], tree: tuple[C
     ``payloads`` maps a root kind of ``tree`` to its JSON column. Payloads that are null, blank or damaged
     have no children. Returns (id, kind, parent_row, row, ordinal, parent_key, key, value): ``row`` and
     ``parent_row`` are surrogate keys made of the record's id and the position at each level, so they are
-    equal in repeated runs and for repeated deliveries; ``key`` is null where an entry names itself nowhere.
+    equal in repeated runs and for repeated deliveries; a hash of the payloads stands for a null id. ``key`` is
+    null where an entry names itself nowhere.
     """
     roots = [f"{unwrapped(parsed(f'`{c}`'))} as `__{k}`" for k, c in payloads.items()]
-    base = df.selectExpr(f"`{id_col}`", *roots)
-    arrays = [a for k in payloads for a in _walk(f"`__{k}`", k, f"concat(`{id_col}`, '#{k}')", "''", tree, 0)]
+    hashed = f"sha2(to_json(struct({', '.join(f'`{c}`' for c in payloads.values())})), 256)"
+    base = df.selectExpr(f"`{id_col}`", f"coalesce(cast(`{id_col}` as string), concat('null-', {hashed})) as `__id`", *roots)
+    arrays = [a for k in payloads for a in _walk(f"`__{k}`", k, f"concat(`__id`, '#{k}')", "''", tree, 0)]
     return base.select(id_col, F.inline(F.expr(f"concat({', '.join(arrays)})")))
 
 

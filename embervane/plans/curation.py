@@ -49,7 +49,7 @@ def p6_rows(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_layout": p2_layout,
-    "p5_found": p5_found, "p5_schema": p5_schema, **{f"p5_{k}": _p5_table(k) for k in ("probe", "recipe", "class", "confusion", "worst_query", "hit", "fold")},
+    "p5_found": p5_found, "p5_schema": p5_schema, **{f"p5_{k}": _p5_table(k) for k in ("probe", "recipe", "class", "confusion", "worst_query", "hit", "fold", "architecture", "step", "skipped")},
     "p6_found": p6_found, "p6_schema": p6_schema, "p6_rows": p6_rows,
 }
 

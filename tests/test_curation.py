@@ -106,3 +106,17 @@ def test_drift(spark):
     assert wide.count() == 4
     name = D.column_names([f for f, _, _ in fused], ("line_id", "stream_id", "file_seq", "line_no", "row_no", "evaluation_index", "status"))["t"]
     assert {r[0] for r in wide.where("file_seq = 2 and evaluation_index = 1").select(f"{name}_as_string").collect()} == {"1"}
+
+
+def test_null_ids_and_every_level(spark):
+    from embervane.plans import curation
+
+    report = lambda x: json.dumps({"metrics": {"probes": {x: {"f": 1}}}})
+    df = spark.createDataFrame([(None, report("a")), (None, report("b")), (None, report("b")), (1, report("a"))], "report_id bigint, report string")
+    ch = N.children(df, "report_id", {"report": "report"}, N.REPORT_TREE)
+    schema = N.merged_schema(ch).first().merged_schema
+    assert sorted(r.key for r in N.child_table(ch, "probe", "report_id", schema).collect()) == ["a", "a", "b"]
+    assert {f"p5_{c.kind}" for c in N.REPORT_TREE} <= set(curation.QUERIES)
+    lines = spark.createDataFrame([(None, "s", 1, 1), (None, "s", 1, 2), (3, "s", 1, 3), (3, "s", 1, 3)], "line_id bigint, stream_id string, file_seq bigint, line_no bigint")
+    lines = lines.selectExpr("*", "0 as row_no", "1 as evaluation_index", "'ok' as status", "map('x', parse_json('1')) as fields")
+    assert sorted(r.line_no for r in D.unified(lines, [("x", ["integer"], "integer")]).collect()) == [1, 2, 3]
