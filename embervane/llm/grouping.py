@@ -21,19 +21,21 @@ UNKNOWN = ("", "-", "--", "?", "n/a", "na", "none", "null", "nan", "nil", "unkno
 #: Links up to which the graph of colliding labels is merged in one task (two bigints a link).
 SMALL_GRAPH = 1_000_000
 MAX_SPLITS = 1000
-BUCKETS = 1024
+#: Components that are ordered in one task in the mean.
+BUCKET_COMPONENTS = 20_000
 
 
-def group_key(entry: Column) -> Column:
-    """``tag:value`` without regard to case and white space around either; null where it relates nothing."""
+def group_key(entry: Column, unknown: tuple[str, ...] = UNKNOWN) -> Column:
+    """``tag:value`` without regard to case and white space around either; null where it relates nothing: without a
+    colon or a tag, or with a value in ``unknown`` (in lower case)."""
     blank = lambda c: F.lower(F.regexp_replace(c, r"^[\s\x{00a0}]+|[\s\x{00a0}]+$", ""))
     tag, value = blank(F.substring_index(entry, ":", 1)), blank(F.regexp_replace(entry, r"^[^:]*:", ""))
-    return F.when(entry.contains(":") & (tag != "") & ~value.isin(*UNKNOWN), F.concat(tag, F.lit(":"), value))
+    return F.when(entry.contains(":") & (tag != "") & ~value.isin("", *unknown), F.concat(tag, F.lit(":"), value))
 
 
-def memberships(samples: DataFrame) -> DataFrame:
+def memberships(samples: DataFrame, unknown: tuple[str, ...] = UNKNOWN) -> DataFrame:
     """samples(sample_id, dataset_key, groups) to distinct (sample_id, dataset_key, key)."""
-    keys = F.array_distinct(F.filter(F.transform("groups", group_key), lambda k: k.isNotNull()))
+    keys = F.array_distinct(F.filter(F.transform("groups", lambda g: group_key(g, unknown)), lambda k: k.isNotNull()))
     return samples.where("sample_id is not null").select("sample_id", "dataset_key", F.explode(keys).alias("key")).distinct()
 
 
@@ -115,7 +117,7 @@ def links(held: DataFrame) -> DataFrame:
     return held.where("size(reps) > 1").select(F.element_at("reps", 1).alias("u"), F.explode(F.slice("reps", F.lit(2), F.size("reps"))).alias("v"))
 
 
-def related_sets(samples: DataFrame, scratch: Scratch | None = None, **how: int) -> DataFrame:
+def related_sets(samples: DataFrame, scratch: Scratch | None = None, unknown: tuple[str, ...] = UNKNOWN, **how: int) -> DataFrame:
     """(sample_id, dataset_key, component): the smallest sample_id related to each sample, itself if there is none.
 
     samples(sample_id, dataset_key, groups). Repeated deliveries count once; null arrays, null or empty
@@ -123,7 +125,7 @@ def related_sets(samples: DataFrame, scratch: Scratch | None = None, **how: int)
     A key is stood for by its smallest sample, so links are as many as memberships, however large a group is.
     """
     scratch = scratch or Scratch(samples.sparkSession)
-    m = memberships(samples)
+    m = memberships(samples, unknown)
     rep = m.groupBy("dataset_key", "key").agg(F.min("sample_id").alias("rep"))
     # a null dataset is a dataset of its own
     held = scratch.put(m.join(rep, m["dataset_key"].eqNullSafe(rep["dataset_key"]) & (m["key"] == rep["key"])).groupBy("sample_id").agg(F.array_sort(F.collect_set("rep")).alias("reps")), "held")
@@ -138,11 +140,15 @@ def assign_splits(related: DataFrame, targets: DataFrame) -> DataFrame:
 
     The components of a dataset lie end to end in the order of their hash; each goes to the split in which
     its middle falls, the targets (split_name, target_share; normalised to 1) being laid out in order of name.
-    Prefix sums run over hash buckets first, so that no dataset is ordered in one task. Without a target of
-    positive share, the split is null.
+    Prefix sums run over buckets of leading hash digits first, as many as the components need, so that no dataset
+    is ordered in one task. Without a target of positive share, the split is null.
     """
     sizes = related.groupBy("dataset_key", "component").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.md5(F.col("component").cast("string")))
-    sizes = sizes.withColumn("bucket", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint"), F.lit(BUCKETS)))
+    sizes = Scratch(related.sparkSession).put(sizes, "components")
+    digits, room = 1, sizes.count() / BUCKET_COMPONENTS
+    while 16**digits < room:
+        digits += 1
+    sizes = sizes.withColumn("bucket", F.substring("h", 1, digits))
     bucket = sizes.groupBy("dataset_key", "bucket").agg(F.sum("n").alias("bn"))
     by = W.partitionBy("dataset_key")
     bucket = bucket.withColumn("start", F.sum("bn").over(by.orderBy("bucket")) - F.col("bn")).withColumn("total", F.sum("bn").over(by))
@@ -161,6 +167,20 @@ def assign_splits(related: DataFrame, targets: DataFrame) -> DataFrame:
     return related.join(placed.drop("dataset_key", "at"), "component").select("sample_id", "dataset_key", "component", "split_name")
 
 
+def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
+    """(dataset_key, split_name, n_samples, n_components, reached_share, target_share): whole components can keep a
+    dataset from its targets; a split that got nothing has a row with 0."""
+    t = targets.where("target_share > 0 and split_name is not null").select("split_name", "target_share").distinct()
+    whole = t.agg(F.sum("target_share").alias("whole"))
+    t = t.join(F.broadcast(whole)).select("split_name", (F.col("target_share") / F.col("whole")).alias("target_share"))  # one row
+    n = assigned.groupBy("dataset_key", "split_name").agg(F.count(F.lit(1)).alias("n_samples"), F.count_distinct("component").alias("n_components"))
+    size = n.groupBy("dataset_key").agg(F.sum("n_samples").alias("total"))
+    rows = size.withColumn("t", F.lit(1)).join(F.broadcast(t.withColumn("t", F.lit(1))), "t").alias("w")  # datasets by splits
+    on = F.col("w.dataset_key").eqNullSafe(F.col("n.dataset_key")) & (F.col("w.split_name") == F.col("n.split_name"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.join(n.alias("n"), on, "left").select("w.dataset_key", "w.split_name", zero("n_samples"), zero("n_components"), F.round(F.coalesce("n_samples", F.lit(0)) / F.col("total"), 6).alias("reached_share"), F.round("target_share", 6).alias("target_share"))
+
+
 def grouped_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of the datasets that at least one result marks as grouped."""
     marked = table(spark, sf_dir, "results").where("probe_grouped").select("dataset_key").distinct()
