@@ -38,13 +38,44 @@ def test_calibration(spark):
 
 
 def test_tilt_meets_shares():
-    d, dual = C.tilt(100, np.array([50.0, 30, 20]), np.array([0.0, 0, 40]), np.array([30.0, 1000, 50]))
+    d, dual, _ = C.tilt(100, np.array([50.0, 30, 20]), np.array([0.0, 0, 40]), np.array([30.0, 1000, 50]))
     assert d.sum() == pytest.approx(100) and d.tolist() == pytest.approx([30, 30, 40])
-    d, _ = C.tilt(10, np.array([5.0, 5]), np.zeros(2), np.array([3.0, 4]))
-    assert d.tolist() == pytest.approx([3, 4])
+    d, _, rest = C.tilt(10, np.array([5.0, 5]), np.zeros(2), np.array([3.0, 4]))
+    assert d.tolist() == pytest.approx([3, 4]) and rest.tolist() == [2, 1]
     assert C.tilt(0, np.zeros(1), np.zeros(1), np.zeros(1))[0].tolist() == [0]
 
 
+def test_tilt_below_every_breakpoint():
+    # minimums that take most of the size push a large category without a minimum far below its share
+    d, _, rest = C.tilt(100, np.array([90.0, 10]), np.array([0.0, 60]), np.array([100_000.0, 80]))
+    assert d.tolist() == pytest.approx([40, 60]) and not rest.any()
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        n = rng.integers(1, 8)
+        share, floor, stock = rng.random(n) * 50 * rng.integers(0, 2, n), np.floor(rng.random(n) * 30) * rng.integers(0, 2, n), np.floor(rng.random(n) ** 4 * 10_000)
+        size = float(rng.integers(0, 200))
+        low = np.minimum(floor, stock)
+        assert C.tilt(size, share, floor, stock)[0].sum() == pytest.approx(np.clip(size, low.sum(), np.where(share > 0, stock, low).sum()), abs=1e-6)
+
+
+def test_report_counts_what_is_lacking(spark):
+    u = C.units(spark.createDataFrame([("p", "d", ["a"] * 500 + ["b"] * 80)], "parent_id string, dataset_key string, labels array<string>"))
+    t = spark.createDataFrame([("d", "a", 90, 0), ("d", "b", 10, 60)], "dataset_key string, label string, target_percent int, min_samples int")
+    plan = C.calibrate(spark.createDataFrame([(1, "d", 100), (2, "d", 1000)], "result_id bigint, dataset_key string, draw_size bigint"), t, C.supply(u)).cache()
+    for units_, rest in ((100_000, 1024), (20, 2)):
+        old, C.REST_BLOCKS = C.REST_BLOCKS, rest
+        try:
+            s = C.draw(plan, u, block_units=units_).cache()
+        finally:
+            C.REST_BLOCKS = old
+        assert s.count() == s.distinct().count() == 680
+        rows = {(r.result_id, r.label): (r.drawn, r.gap, r.unreachable) for r in C.report(plan, s).collect()}
+        assert rows == {(1, "a"): (40, 50, 0), (1, "b"): (60, 0, 0), (2, "a"): (500, 400, 400), (2, "b"): (80, 20, 20)}
+        assert all(r.within_one and r.n_drawn == r.n_expected for r in C.totals(plan, s).collect())
+    empty = C.draw(plan.limit(0), u.limit(0))
+    assert empty.count() == 0 and C.report(plan.limit(0), empty).count() == 0
+
+
 def test_pivotal_keeps_totals():
     rng = np.random.default_rng(0)
     p = np.full(40, 0.25)
@@ -161,22 +192,47 @@ def test_leaks(spark):
         (6, " ".join(w[:11]) + " gap " + " ".join(w[11:22])), (7, "Read the passage. " * 40), (8, "filler " * 50_000 + "\n> ".join(w[5:18])), (1, "intro " + " ".join(w[3:15]) + " outro"),
     ]
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit("clash"))
-    for words in (500_000, 10):
-        got = L.leaks(d, items, pass_words=words)
+    for bits in (1 << 24, 1 << 15):
+        got = L.leaks(d, items, bits=bits).cache()
         assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (5, 1), (8, 1)}
     assert {r.item_id: r.n_docs for r in L.leaked_items(got, items).where("item_id < 3").collect()} == {1: 3, 2: 0}
     assert L.leaks(d.limit(0), items).count() == 0 and L.leaks(d, items.limit(0)).count() == 0
 
 
-def test_multi_index_finds_all_within_radius():
+def test_multi_index_finds_all_within_radius(spark):
     rng = np.random.default_rng(7)
-    idx = L.Index({1: [f"a{i}" for i in range(60)]})
-    p = idx.prints.copy()
-    for i in range(len(p)):
+    own = spark.createDataFrame([(1, [f"a{i}" for i in range(60)])], "item_id bigint, words array<string>")
+    items = L.item_windows(own).cache()
+    prints = {r.start: r.print for r in items.collect()}
+    assert len(prints) == 49
+    rows = []
+    for k, p in prints.items():
+        near, far = np.int64(p).view(np.uint64), np.int64(p).view(np.uint64)
         for bit in rng.choice(64, 3, replace=False):
-            p[i] ^= np.uint64(1) << np.uint64(bit)
-    at, win = idx.candidates(p)
-    assert {(i, i) for i in range(len(p))} <= set(zip(at.tolist(), win.tolist()))
+            near ^= np.uint64(1) << np.uint64(bit)
+        for bit in rng.choice(64, 4, replace=False):
+            far ^= np.uint64(1) << np.uint64(bit)
+        rows += [(k, int(near.view(np.int64)), True), (k, int(far.view(np.int64)), False)]
+    got = L.candidates(spark.createDataFrame(rows, "k bigint, print bigint, near boolean"), items).where("k = start").select("k", "near").collect()
+    assert sorted(got) == [(k, True) for k in sorted(prints)]  # each once, and none beyond the radius
+
+
+def test_openings_that_items_share(spark):
+    rule, half = "Read the report; decide which of the claims holds.", "Look at this:"
+    items = [(1, f"{rule} Alpha beta."), (2, f"{rule} Gamma."), (3, f"{half} delta."), (4, f"{half} epsilon! Zeta."), (5, "Own opening. Eta."), (6, "Own opening. Eta."), (6, "Own opening. Eta."), (7, None), (8, "")]
+    own = L.own_words(spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {r.item_id: " ".join(r.words) for r in own.collect()}
+    assert got == {1: "alpha beta", 2: "gamma", 3: "delta", 4: "epsilon zeta", 5: "eta", 6: "eta", 8: ""}
+
+
+def test_near_windows_by_weighted_shingles(spark):
+    w = [f"w{i}" for i in range(12)]
+    items = spark.createDataFrame([(1, " ".join(w))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, " ".join([*w[:11], "other"])), (2, "none of these words is in any of the items at all indeed")], "doc_id bigint, text string")
+    wide = L.candidates(L.document_windows(docs, L.shingle_filter(L.own_words(items)), 0.5), L.item_windows(L.own_words(items)), 3)
+    assert {r.doc_id for r in wide.collect()} <= {1}
+    assert L.similarity(w, [*w[:11], "other"], {}) == pytest.approx(7 / 9)
+    assert L.similarity(w, w, {"w0 w1 w2 w3 w4": 0.5}) == 1
 
 
 # --- mixing ---
@@ -195,14 +251,20 @@ def test_mixing(spark):
     rep = {r.source: r for r in M.mix_report(plan, mix).where("mix_id = 'm'").collect()}
     assert rep["small"].given == 30 and rep["small"].most_copies == 3 and rep["absent"].given == 0
     assert 105 <= rep["big_source"].given < 109
-    assert M.mix_plan(c, t.limit(0)).count() == 0
-
-
-def test_temperature():
-    assert M._alpha([(0.5, 0.5, 100.0), (0.5, 0.5, 100.0)], 100) == 1
-    a = M._alpha([(0.9, 0.5, 90.0), (0.1, 0.5, 20.0)], 100)
-    w = [0.9 * (0.5 / 0.9) ** a, 0.1 * 5**a]
-    assert 0 < a < 1 and w[1] / sum(w) * 100 == pytest.approx(20)
+    assert rep["big_source"].exponent == 1 and 0 < rep["small"].exponent < 1 and rep["absent"].exponent == 0
+    given = sum(r.given for r in rep.values())
+    assert rep["small"].share_of_mix == pytest.approx(30 / given, abs=1e-6) and rep["small"].share_of_size == pytest.approx(30 / 210, abs=1e-6)
+    assert M.mix_plan(c, t.limit(0)).count() == 0 and M.mix_report(plan, M.realise(c.limit(0), plan)).where("given > 0").count() == 0
+
+
+def test_tempering_stops_at_the_limit():
+    assert M.exponents([(0.5, 0.5, 100.0), (0.5, 0.5, 100.0)], 100) == [(1.0, 0.5), (1.0, 0.5)]
+    (a1, w1), (a2, w2) = M.exponents([(0.9, 0.5, 90.0), (0.1, 0.5, 20.0)], 100)
+    assert a1 == 1 and w1 == 0.5 and 0 < a2 < 1 and w2 == pytest.approx(0.2)
+    (a, w), _ = M.exponents([(0.9, 0.8, 50.0), (0.1, 0.2, 90.0)], 100)  # even its natural share is too much
+    assert a == 0 and w == pytest.approx(0.5)
+    assert M.exponents([(0.0, 0.5, 0.0), (1.0, 0.5, 900.0)], 100) == [(0.0, 0.0), (1.0, 0.5)]
+    assert M.exponents([(1.0, 0.0, 5.0)], 100) == [(1.0, 0.0)]
 
 
 # --- truncation ---
