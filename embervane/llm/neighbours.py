@@ -1,31 +1,37 @@
 """Most similar vectors for every vector.
 
-Vectors are spread over shards by the nearest of a few centroids, fitted on a bounded sample; every shard is
-a robust-pruned directed graph built and beam-searched in one task. A query visits its own shard and those whose
-centroid is nearly as near, and the best hits of the visited shards are merged.
+Vectors that are equal stand for each other and are searched once. The rest are spread over shards, the cells of one
+or two levels of centroids fitted on a bounded sample; every shard is a robust-pruned directed graph built and
+beam-searched in one task. Searches for the k nearest visit the shards of the nearest centroids; searches for all
+partners above a similarity visit every shard that can hold one, as the planes between centroids tell.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from embervane.llm.graph import PrunedGraph
-from embervane.session import table
+from embervane.session import Scratch, empty, table
 
-#: Vectors a shard should hold; a centroid whose cell is larger has several shards, all of which are searched.
-SHARD_ROWS = 30_000
-#: Most centroids of one output, and vectors of the sample they are fitted on (the only sample taken).
-MAX_CENTROIDS, SAMPLE_ROWS, SAMPLE_PER_CENTROID = 2048, 8_192, 64
-#: Shards a query visits at most, and how much less similar a visited centroid may be than the nearest.
-PROBES, MARGIN = 4, 0.1
+#: Vectors a shard should hold.
+SHARD_ROWS = 4_000
+#: Centroids of one level, and of both (these are sent to every task: 64 MB at 64 values; beyond, shards grow).
+ONE_LEVEL, MAX_CENTROIDS = 512, 262_144
+#: Vectors of the sample that centroids are fitted on (the only sample taken): so many a centroid, so many at least.
+SAMPLE_PER_CENTROID, SAMPLE_ROWS = 64, 8_192
+#: Shards a search for the k nearest visits.
+PROBES = 8
+#: Groups of more equal vectors are given as links to their lowest id, and not as all pairs.
+EXPAND_COPIES = 32
 
 
 def fit_vectors(tokens: DataFrame, outputs: DataFrame) -> DataFrame:
-    """(token_id, output_name, embeddings, norm) of the vectors fit for comparison.
+    """(token_id, output_name, embeddings) of the vectors fit for comparison.
 
     A vector is fit if its length is the embedding_dim of its output and its values are neither null nor
     non-finite nor all zero.
@@ -35,7 +41,7 @@ def fit_vectors(tokens: DataFrame, outputs: DataFrame) -> DataFrame:
     norm = F.expr("aggregate(embeddings, 0D, (a, x) -> a + cast(x as double) * x, a -> sqrt(a))")
     t = tokens.where("token_id is not null and embeddings is not null").join(dims, "output_name")
     t = t.where("size(embeddings) = embedding_dim").withColumn("norm", norm).where("norm > 0 and norm < double('infinity')")
-    return t.select("token_id", "output_name", "embeddings", "norm")
+    return t.select("token_id", "output_name", "embeddings")
 
 
 def _unit(batch: pa.RecordBatch) -> list[tuple[str, np.ndarray, np.ndarray]]:
@@ -64,82 +70,173 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return c
 
 
-def fit_shards(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """output -> (centroids, shards of each centroid's cell), from a sample chosen by hash.
-
-    What reaches the driver is bounded: at most MAX_CENTROIDS centroids an output, of a sample of at most
-    max(SAMPLE_ROWS, SAMPLE_PER_CENTROID * centroids) vectors in the mean.
+@dataclass
+class Cells:
+    """The shards of one output: ``tops`` are the centroids of the first level, ``kids[j]`` those below top j."""
+
+    tops: np.ndarray
+    kids: list[np.ndarray]
+
+    def __post_init__(self):
+        self.first = np.concatenate([[0], np.cumsum([len(k) for k in self.kids])]).astype(np.int64)
+        self.gap = _gaps(self.tops)
+        self.kid_gaps = [_gaps(k) for k in self.kids]
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(top, shard, similarities to the tops) of every row."""
+        s = x @ self.tops.T
+        top = s.argmax(1)
+        shard = self.first[top]
+        for j in np.unique(top):
+            if len(self.kids[j]) > 1:
+                at = np.flatnonzero(top == j)
+                shard[at] += (x[at] @ self.kids[j].T).argmax(1)
+        return top, shard, s
+
+    def reach(self, x: np.ndarray, top: np.ndarray, s: np.ndarray, chord: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, shard): what the rows must visit so that one side of each pair no further apart than ``chord`` meets the other.
+
+        Let q and y be such a pair with different centroids c and d. Then q (c - d) + y (d - c) = (q - y)(c - d) is
+        at most chord * |c - d|, and neither term is negative, so that one of them is at most half of it: that side
+        visits. Below a foreign top the bound on one side alone is the whole of it.
+        """
+        rows, shards = [], []
+        lead = np.take_along_axis(s, top[:, None], 1)
+        visit = lead - s <= chord / 2 * self.gap[top] + 1e-6
+        for j in np.flatnonzero(visit.any(0)):
+            r, own = np.flatnonzero(visit[:, j]), self.kids[j]
+            if len(own) == 1:
+                rows.append(r)
+                shards.append(np.full(len(r), self.first[j]))
+                continue
+            t = x[r] @ own.T
+            best = t.argmax(1)
+            much = np.where(top[r] == j, chord / 2, chord)[:, None]
+            a, b = np.nonzero(np.take_along_axis(t, best[:, None], 1) - t <= much * self.kid_gaps[j][best] + 1e-6)
+            rows.append(r[a])
+            shards.append(self.first[j] + b)
+        return np.concatenate(rows), np.concatenate(shards)
+
+    def nearest(self, x: np.ndarray, s: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, shard) of the ``probes`` nearest centroids below the ``probes`` nearest tops of every row."""
+        t = min(probes, len(self.tops))
+        tops = np.argpartition(-s, t - 1, axis=1)[:, :t]
+        width = max(len(k) for k in self.kids)
+        sims, shards = np.full((len(x), t, width), -np.inf, np.float32), np.full((len(x), t, width), -1, np.int64)
+        for j in np.unique(tops):
+            r, slot = np.nonzero(tops == j)
+            n = len(self.kids[j])
+            sims[r, slot, :n] = x[r] @ self.kids[j].T if n > 1 else s[r, j][:, None]
+            shards[r, slot, :n] = self.first[j] + np.arange(n)
+        sims, shards = sims.reshape(len(x), -1), shards.reshape(len(x), -1)
+        best = np.argsort(-sims, axis=1, kind="stable")[:, :probes]
+        found = np.take_along_axis(shards, best, 1)
+        row, _ = np.nonzero(found >= 0)
+        return row, found[found >= 0]
+
+
+def _gaps(c: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, (c * c).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * c @ c.T)).astype(np.float32)
+
+
+def _centroids(t: pa.Table, k: int) -> np.ndarray:
+    x = np.concatenate([u for b in t.sort_by("token_id").combine_chunks().to_batches() for _, _, u in _unit(b)])
+    return _kmeans(x, min(k, len(x)))
+
+
+def fit_shards(vectors: DataFrame, sizes: dict[str, int], shard_rows: int = SHARD_ROWS, one_level: int = ONE_LEVEL, most: int = MAX_CENTROIDS) -> dict[str, Cells]:
+    """The cells of every output, from a sample chosen by hash.
+
+    An output of n vectors has n / shard_rows cells, ``most`` at most; above ``one_level`` they lie on two levels. What
+    reaches the driver are centroids, ``most`` an output.
     """
-    sizes = {r["output_name"]: r["n"] for r in vectors.groupBy("output_name").agg(F.count(F.lit(1)).alias("n")).collect()}
-    k = {o: int(min(MAX_CENTROIDS, max(1, -(-n // shard_rows)))) for o, n in sizes.items()}
-    rate = {o: min(1.0, max(SAMPLE_ROWS, SAMPLE_PER_CENTROID * k[o]) / n) for o, n in sizes.items()}
     if not sizes:
         return {}
-    keep = F.lit(False)
-    for o, r in rate.items():
-        keep = keep | ((F.col("output_name") == o) & (F.pmod(F.xxhash64("token_id"), F.lit(1 << 20)) < int(r * (1 << 20)) + 1))
-    sample = vectors.where(keep).select("token_id", "output_name", "embeddings")
+    cells = {o: int(min(most, max(1, -(-n // shard_rows)))) for o, n in sizes.items()}
+    tops = {o: k if k <= one_level else int(np.ceil(np.sqrt(k))) for o, k in cells.items()}
+
+    def sample(wanted: dict[str, int]) -> DataFrame:
+        keep = F.lit(False)
+        for o, k in wanted.items():
+            rate = min(1.0, max(SAMPLE_ROWS, SAMPLE_PER_CENTROID * k) / sizes[o])
+            keep = keep | ((F.col("output_name") == o) & (F.pmod(F.xxhash64("token_id"), F.lit(1 << 40)) < int(rate * (1 << 40)) + 1))
+        return vectors.where(keep).select("token_id", "output_name", "embeddings")
+
+    kind = "output_name string, top bigint, cell bigint, centroid binary"
+
+    def rows(name: str, top: int, c: np.ndarray) -> pa.Table:
+        return pa.table({"output_name": [name] * len(c), "top": pa.array([top] * len(c), pa.int64()), "cell": np.arange(len(c)), "centroid": [r.tobytes() for r in c]})
 
     def fit(key: tuple, t: pa.Table) -> pa.Table:
-        name = key[0].as_py()
-        x = np.concatenate([u for b in t.sort_by("token_id").combine_chunks().to_batches() for _, _, u in _unit(b)])
-        c = _kmeans(x, min(k[name], len(x)))
-        share = np.bincount((x @ c.T).argmax(1), minlength=len(c)) / len(x)
-        split = np.maximum(1, np.rint(share * sizes[name] / shard_rows)).astype(np.int32)
-        return pa.table({"output_name": [name] * len(c), "cell": np.arange(len(c)), "centroid": [r.tobytes() for r in c], "split": split})
-
-    rows = sample.groupBy("output_name").applyInArrow(fit, "output_name string, cell bigint, centroid binary, split int").collect()
-    out = {}
-    for o in sizes:
-        own = sorted((r for r in rows if r["output_name"] == o), key=lambda r: r["cell"])
-        if own:
-            out[o] = (np.stack([np.frombuffer(bytes(r["centroid"]), np.float32) for r in own]), np.array([r["split"] for r in own]))
+        return rows(key[0].as_py(), -1, _centroids(t, tops[key[0].as_py()]))
+
+    def stacked(found: list, name: str, top: int) -> np.ndarray:
+        own = sorted((r for r in found if r["output_name"] == name and r["top"] == top), key=lambda r: r["cell"])
+        return np.stack([np.frombuffer(bytes(r["centroid"]), np.float32) for r in own])
+
+    found = sample(tops).groupBy("output_name").applyInArrow(fit, kind).collect()
+    names = {r["output_name"] for r in found}
+    upper = {o: stacked(found, o, -1) for o in sizes if o in names}
+    two = {o: cells[o] for o in upper if cells[o] > one_level}
+    out = {o: Cells(c, [c[j : j + 1] for j in range(len(c))]) for o, c in upper.items() if o not in two}
+    if two:
+        sent = vectors.sparkSession.sparkContext.broadcast({o: upper[o] for o in two})
+
+        def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for name, ids, x in _unit(batch):
+                    if name in sent.value and len(ids):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([name] * len(ids), pa.string()), pa.array((x @ sent.value[name].T).argmax(1)), pa.array(list(x), pa.list_(pa.float32()))], names=["token_id", "output_name", "top", "embeddings"])
+
+        def split(key: tuple, t: pa.Table) -> pa.Table:
+            name = key[0].as_py()
+            share = len(t) / max(SAMPLE_ROWS, SAMPLE_PER_CENTROID * two[name])
+            return rows(name, key[1].as_py(), _centroids(t.select(["token_id", "output_name", "embeddings"]), max(1, round(share * two[name]))))
+
+        found = sample(two).mapInArrow(below, "token_id bigint, output_name string, top bigint, embeddings array<float>").groupBy("output_name", "top").applyInArrow(split, kind).collect()
+        held: dict[tuple, list] = {}
+        for r in found:
+            held.setdefault((r["output_name"], r["top"]), []).append(r)
+        for o in two:
+            out[o] = Cells(upper[o], [stacked(held[o, j], o, j) if (o, j) in held else upper[o][j : j + 1] for j in range(len(upper[o]))])
     return out
 
 
 ROUTED = "output_name string, shard bigint, token_id bigint, member boolean, query boolean, vec binary"
 
 
-def route(vectors: DataFrame, shards: dict, every: int = 1, probes: int = PROBES, margin: float = MARGIN) -> DataFrame:
-    """Each vector to its own shard as a member, and to the visited shards as a query (if token_id is divisible by ``every``)."""
+def route(vectors: DataFrame, shards: dict[str, Cells], every: int = 1, probes: int = PROBES, least: float = -1.0) -> DataFrame:
+    """Each vector to its own shard as a member and, if it asks, to the visited shards as a query.
+
+    vectors(token_id, output_name, embeddings, ask): rows whose token_id is divisible by ``every`` or whose ``ask`` is
+    true. With ``least`` above -1 every shard that can hold a partner of that similarity is visited (see
+    ``Cells.reach``), else the ``probes`` nearest.
+    """
+    chord = float(np.sqrt(max(0.0, 2 - 2 * least)))
+    sent = vectors.sparkSession.sparkContext.broadcast(shards)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            wanted = batch.column("ask").to_numpy(zero_copy_only=False).astype(bool)
+            asked = set(batch.column("token_id").to_numpy()[wanted].tolist())
             for name, ids, x in _unit(batch):
-                if name not in shards or not len(ids):
+                if name not in sent.value or not len(ids):
                     continue
-                c, split = shards[name]
-                first = np.concatenate([[0], np.cumsum(split)[:-1]])
-                s = x @ c.T
-                t = min(probes, len(c))
-                top = np.argpartition(-s, t - 1, axis=1)[:, :t]
-                best = np.take_along_axis(s, top, 1)
-                o = np.argsort(-best, axis=1, kind="stable")
-                top, best = np.take_along_axis(top, o, 1), np.take_along_axis(best, o, 1)
-                home = top[:, 0]
-                # equal vectors share a shard: the place in a split cell comes from the values
-                mix = (x.view(np.uint32).astype(np.uint64) * (np.arange(x.shape[1], dtype=np.uint64) * np.uint64(2654435761) + np.uint64(97))).sum(1)
-                part = (mix >> np.uint64(13)) % split[home].astype(np.uint64)
-                own = first[home] + part.astype(np.int64)
-                asks = ids % every == 0
-                row, shard = [np.arange(len(ids))], [own]
-                for j in range(t):
-                    visit = asks & (best[:, j] >= best[:, 0] - margin)
-                    for p in range(int(split[top[visit, j]].max(initial=0))):
-                        r = np.flatnonzero(visit)
-                        r = r[split[top[r, j]] > p]
-                        g = first[top[r, j]] + p
-                        other = g != own[r]
-                        row.append(r[other])
-                        shard.append(g[other])
-                row, shard = np.concatenate(row), np.concatenate(shard)
+                cells = sent.value[name]
+                top, own, s = cells.home(x)
+                asks = (ids % every == 0) | np.array([i in asked for i in ids.tolist()] if asked else False)
+                q = np.flatnonzero(asks)
+                row, shard = cells.reach(x[q], top[q], s[q], chord) if least > -1 else cells.nearest(x[q], s[q], probes) if len(q) else (q, q)
+                row = q[row]
+                other = shard != own[row]
+                row, shard = np.concatenate([np.arange(len(ids)), row[other]]), np.concatenate([own, shard[other]])
                 member = np.arange(len(row)) < len(ids)
                 width = x.shape[1] * 4
                 data = pa.py_buffer(np.ascontiguousarray(x[row]).tobytes())
                 offsets = pa.py_buffer((np.arange(len(row) + 1, dtype=np.int32) * width).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(row), pa.string()), pa.array(shard), pa.array(ids[row]), pa.array(member), pa.array(asks[row]), pa.Array.from_buffers(pa.binary(), len(row), [None, offsets, data])], names=["output_name", "shard", "token_id", "member", "query", "vec"])
 
-    return vectors.select("token_id", "output_name", "embeddings").mapInArrow(spread, ROUTED)
+    return vectors.select("token_id", "output_name", "embeddings", "ask").mapInArrow(spread, ROUTED)
 
 
 HITS = "output_name string, token_id bigint, neighbour_id bigint, similarity double"
@@ -197,34 +294,82 @@ def _search(k: int, beam: int, least: float, degree: int, t: pa.Table) -> pa.Tab
     return pa.table({"output_name": pa.array([name] * len(who), pa.string()), "token_id": pa.array(who, pa.int64()), "neighbour_id": pa.array(hit, pa.int64()), "similarity": pa.array(s.astype(np.float64))})
 
 
-def _hits(tokens: DataFrame, outputs: DataFrame, k: int, beam: int, least: float, every: int, degree: int, **how) -> DataFrame:
-    vectors = fit_vectors(tokens, outputs)
-    shards = fit_shards(vectors, how.pop("shard_rows", SHARD_ROWS))
-    routed = route(vectors, shards, every, **how)
+def equal_vectors(vectors: DataFrame, scratch: Scratch) -> tuple[dict[str, int], DataFrame]:
+    """Vectors by output, and the copies: (token_id, rep), rep being the lowest id with the same vector (two 64-bit hashes).
+
+    Only ids and hashes are shuffled. Groups of copies are counted by partial aggregates, so one that holds most of
+    the rows is no hot spot.
+    """
+    keyed = scratch.put(vectors.select("output_name", "token_id", F.xxhash64("embeddings").alias("h1"), F.xxhash64(F.lit(5), "embeddings").alias("h2")), "hashes")
+    sizes = {r["output_name"]: r["n"] for r in keyed.groupBy("output_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    same = keyed.groupBy("output_name", "h1", "h2").agg(F.min("token_id").alias("rep"), F.max("token_id").alias("last")).where("rep < last").drop("last")
+    return sizes, scratch.put(keyed.join(same, ["output_name", "h1", "h2"]).where("token_id <> rep").select("token_id", "rep").distinct(), "copies")
+
+
+def _hits(vectors: DataFrame, copies: DataFrame, sizes: dict[str, int], k: int, beam: int, least: float, every: int, degree: int, probes: int, **how) -> DataFrame:
+    ask = copies.where(F.pmod("token_id", F.lit(every)) == 0).select(F.col("rep").alias("token_id"), F.lit(True).alias("ask")).distinct()
+    marks = copies.select("token_id", F.lit(True).alias("copy"), F.lit(False).alias("ask")).unionByName(ask.withColumn("copy", F.lit(False)))
+    if empty(copies):
+        searched = vectors.withColumn("ask", F.lit(False))
+    else:
+        searched = vectors.join(marks.groupBy("token_id").agg(F.max("copy").alias("copy"), F.max("ask").alias("ask")), "token_id", "left")
+        searched = searched.where(~F.coalesce("copy", F.lit(False))).withColumn("ask", F.coalesce("ask", F.lit(False)))
+    shards = fit_shards(vectors, sizes, **how)
+    n = sum(int(c.first[-1]) for c in shards.values())
+    # a few partitions a shard, so that large shards rarely meet in one task
+    routed = route(searched, shards, every, probes, least).repartition(max(1, 3 * n), "output_name", "shard")
     return routed.groupBy("output_name", "shard").applyInArrow(lambda key, t: _search(k, beam, least, degree, t), HITS)
 
 
-def nearest(tokens: DataFrame, outputs: DataFrame, k: int = 10, every: int = 1, beam: int = 64, degree: int = 16, probes: int = 8, margin: float = 4.0, **how) -> DataFrame:
+def nearest(tokens: DataFrame, outputs: DataFrame, k: int = 10, every: int = 1, beam: int = 64, degree: int = 16, probes: int = PROBES, **how) -> DataFrame:
     """(output_name, token_id, neighbour_id, similarity, rank): the k most similar tokens of the same output.
 
     tokens(token_id, output_name, embeddings), outputs(output_name, embedding_dim). Queries are the tokens whose
     id is divisible by ``every``; every token fit for comparison is in the index. Ties go to the lower id,
-    repeated deliveries count once, tokens unfit for comparison are in no row. Recall is measured in the tests.
+    repeated deliveries count once, tokens unfit for comparison are in no row. Equal vectors are searched once, and
+    of a group of them the k + 1 lowest ids are enough to fill any list. Recall is measured in the tests.
     """
-    hits = _hits(tokens, outputs, k, beam, -1.0, every, degree, probes=probes, margin=margin, **how)
-    best = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("d"), "neighbour_id"))), 1, k)  # k a visited shard
-    top = hits.groupBy("output_name", "token_id").agg(best.alias("best"))
+    vectors, scratch = fit_vectors(tokens, outputs), Scratch(tokens.sparkSession)
+    sizes, copies = equal_vectors(vectors, scratch)
+    hits = _hits(vectors, copies, sizes, k, beam, -1.0, every, degree, probes, **how)
+    if not empty(copies):
+        hits = scratch.put(hits, "hits")
+        members = copies.unionByName(copies.select(F.col("rep").alias("token_id"), "rep").distinct())
+        few = members.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("token_id"))).where(F.col("r") <= k + 1).drop("r")
+        asking = members.where(F.pmod("token_id", F.lit(every)) == 0)
+        # hits on a representative are hits on its copies, and the hits of a representative are those of its copies
+        near = hits.join(few.select(F.col("rep").alias("neighbour_id"), F.col("token_id").alias("copy")), "neighbour_id", "left").withColumn("neighbour_id", F.coalesce("copy", "neighbour_id")).drop("copy")
+        near = near.join(asking.select(F.col("rep").alias("token_id"), F.col("token_id").alias("copy")), "token_id", "left").withColumn("token_id", F.coalesce("copy", "token_id")).drop("copy")
+        name = vectors.select("token_id", "output_name").join(asking.select("token_id"), "token_id", "left_semi").distinct()
+        own = asking.join(name, "token_id").join(few.select("rep", F.col("token_id").alias("neighbour_id")), "rep").select("output_name", "token_id", "neighbour_id", F.lit(1.0).alias("similarity"))
+        hits = near.select("output_name", "token_id", "neighbour_id", "similarity").unionByName(own).where(F.pmod("token_id", F.lit(every)) == 0)
+    best = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("d"), "neighbour_id"))), 1, k)  # k a visited shard, k + 1 a group of copies
+    top = hits.where("token_id <> neighbour_id").groupBy("output_name", "token_id").agg(best.alias("best"))
     return top.select("output_name", "token_id", F.posexplode("best").alias("pos", "b")).select("output_name", "token_id", F.col("b.neighbour_id").alias("neighbour_id"), (-F.col("b.d")).alias("similarity"), (F.col("pos") + 1).alias("rank"))
 
 
-def similar_pairs(tokens: DataFrame, outputs: DataFrame, least: float = 0.95, beam: int = 16, degree: int = 12, **how) -> DataFrame:
+def similar_pairs(tokens: DataFrame, outputs: DataFrame, least: float = 0.95, beam: int = 16, degree: int = 12, expand: int = EXPAND_COPIES, **how) -> DataFrame:
     """(token_id_a, token_id_b): pairs of tokens of one output with a cosine similarity of at least ``least``, a < b.
 
-    Both sides of a pair search, so that it is lost only if neither finds the other. A token whose beam is full
-    of partners is compared with every vector of the shards it visits; copies of the same vectors are all listed.
+    Of each pair at least one side visits the shard of the other, so that it is lost only if the graph there does not
+    lead to it. A token whose beam is full of partners is compared with every vector of the shards it visits. Groups
+    of up to ``expand`` equal vectors are listed pair by pair; of larger ones the lowest id stands for all, and each
+    other id has a row with it.
     """
-    hits = _hits(tokens, outputs, beam - 1, beam, least, 1, degree, **how)
-    return hits.select(F.least("token_id", "neighbour_id").alias("token_id_a"), F.greatest("token_id", "neighbour_id").alias("token_id_b")).distinct()
+    vectors, scratch = fit_vectors(tokens, outputs), Scratch(tokens.sparkSession)
+    sizes, copies = equal_vectors(vectors, scratch)
+    hits = _hits(vectors, copies, sizes, beam - 1, beam, least, 1, degree, PROBES, **how)
+    pairs = hits.select(F.least("token_id", "neighbour_id").alias("a"), F.greatest("token_id", "neighbour_id").alias("b")).distinct()
+    if not empty(copies):
+        small = copies.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < expand).select("rep")
+        listed = copies.join(small, "rep", "left_semi")
+        members = scratch.put(listed.unionByName(listed.select(F.col("rep").alias("token_id"), "rep").distinct()), "members")
+        for side in ("a", "b"):
+            pairs = pairs.join(members.select(F.col("rep").alias(side), F.col("token_id").alias("copy")), side, "left").withColumn(side, F.coalesce("copy", side)).drop("copy")
+        inside = members.select("rep", F.col("token_id").alias("a")).join(members.select("rep", F.col("token_id").alias("b")), "rep").where("a < b").select("a", "b")  # expand * expand a group
+        rest = copies.join(small, "rep", "left_anti").select(F.col("rep").alias("a"), F.col("token_id").alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(inside).unionByName(rest)
+    return pairs.select(F.col("a").alias("token_id_a"), F.col("b").alias("token_id_b"))
 
 
 def spatial(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -101,9 +101,10 @@ def test_neighbours(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
     want = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(s >= 0.95))) if i < j}
-    for rows_ in (30_000, 300):
-        assert {tuple(r) for r in N.similar_pairs(t, o, shard_rows=rows_).collect()} == want
-        near = N.nearest(t, o, k=5, every=50, shard_rows=rows_).collect()
+    for how in ({"shard_rows": 30_000}, {"shard_rows": 300}, {"shard_rows": 60, "one_level": 4}, {"shard_rows": 60, "most": 5}):
+        got = [tuple(r) for r in N.similar_pairs(t, o, **how).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        near = N.nearest(t, o, k=5, every=50, **how).collect()
         np.fill_diagonal(s, -2)
         hit = [r.neighbour_id in set(np.argsort(-s[r.token_id])[:5].tolist()) for r in near]
         assert len(hit) == 30 * 5 and np.mean(hit) >= 0.9
@@ -124,6 +125,41 @@ def test_clusters_larger_than_the_beam(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_equal_vectors(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(200, 24)).astype(np.float32)
+    hot = {i: 3 for i in range(1000, 1400)} | {2000: 5, 2050: 5, 2100: 7}  # copies of 3, 5 and 7
+    rows = [(i, "o", v.tolist()) for i, v in enumerate(x)] + [(i, "o", x[j].tolist()) for i, j in hot.items()]
+    rows += [(3000, "o", (x[5] + 0.01).tolist())]
+    t = spark.createDataFrame([*rows, rows[5], (4000, "p", x[3].tolist())], "token_id bigint, output_name string, embeddings array<float>")
+    o = spark.createDataFrame([("o", 24), ("p", 24)], "output_name string, embedding_dim int")
+    for how in ({}, {"shard_rows": 40}):
+        pairs = [tuple(r) for r in N.similar_pairs(t, o, **how).collect()]
+        assert len(pairs) == len(set(pairs))
+        small = {(5, 2000), (5, 2050), (2000, 2050), (7, 2100), (5, 3000), (2000, 3000), (2050, 3000)}
+        assert set(pairs) == small | {(3, i) for i in range(1000, 1400)}  # the large group by its lowest id
+        near = {}
+        for r in sorted(N.nearest(t, o, k=4, every=50, **how).collect(), key=lambda r: r["rank"]):
+            near.setdefault(r.token_id, []).append(r.neighbour_id)
+        assert near[1050] == [3, 1000, 1001, 1002] and near[1000] == [3, 1001, 1002, 1003]
+        assert near[2000][:3] == [5, 2050, 3000] and near[2100][0] == 7 and near[2000] != near[0]
+        assert set(near) == {0, 50, 100, 150, *range(1000, 1400, 50), 2000, 2050, 2100, 3000}
+
+
+def test_reach_finds_every_partner():
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(3000, 6)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tops = N._kmeans(x, 12)
+    for cells in (N.Cells(tops, [tops[j : j + 1] for j in range(12)]), N.Cells(tops, [N._kmeans(x[(x @ tops.T).argmax(1) == j], 5) for j in range(12)])):
+        top, own, s = cells.home(x)
+        row, shard = cells.reach(x, top, s, np.sqrt(2 - 2 * 0.95))
+        visits = set(zip(row.tolist(), shard.tolist()))
+        a, b = np.nonzero(x @ x.T >= 0.95)
+        assert all((i, own[j]) in visits or (j, own[i]) in visits for i, j in zip(a.tolist(), b.tolist()))
+        assert len(visits) < 0.8 * len(x) * cells.first[-1]
+
+
 def test_graph_recall_and_degenerate():
     x = np.random.default_rng(5).normal(size=(3000, 24)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
