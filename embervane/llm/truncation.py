@@ -1,89 +1,113 @@
 """Texts cut off by field limits or in transfer.
 
 Two kinds of evidence are combined as log odds. Per source, a log-normal length distribution is fitted by maximum
-likelihood with the lengths at candidate limits taken as right-censored; what a limit holds beyond the fitted
-density gives the posterior that a text of that length was censored there. The ending of each text is read
-against the corpus: lines before the last one of any text are whole, so where words stand inside such lines and
-where they end them tells whether a last line could end as it does.
+likelihood with the lengths at candidate limits taken as right-censored; what a limit holds beyond the fitted density
+gives the posterior that a text of that length was censored there. The ending of each text falls into one of a few
+kinds, by its shape and by where words stand in the whole lines of the corpus. How often a cut leaves each kind is
+known from texts that are cut here at random places, and which kinds whole writing hardly has from the ends of lines
+before the last; how whole texts end otherwise, and how many are cut at each limit and elsewhere, is fitted by
+expectation maximisation, which starts from the censoring posteriors. No weight is set by hand.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from embervane.llm.mixing import source_name
 from embervane.session import Scratch, table
 
 #: A length is a candidate limit where it holds this many times what the fitted density expects, and at least so many texts.
 LIMIT_EXCESS, LIMIT_TEXTS = 6.0, 5
-EM_ROUNDS = 4
-#: Log odds, before looking at the words, that an ending between two words is a cut: cut texts are about one in
-#: twenty, and a cut falls on one given place of a line of some tens of characters.
-BETWEEN_WORDS = -5.5
+#: Texts, in the mean, that are cut at random places to learn the endings of cuts (all of them in a smaller corpus).
+SAMPLE_CUTS = 50_000
+#: Rates at which a word ends its line that tell kinds of endings apart.
+END_RATES = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3)
+
+#: A kind of ending is none of whole texts where line ends have it this much less often than cuts.
+RARE = 0.05
+REMARKS = ("remark", "short_remark", "remark_begun")
+
+BLANK = r"[\s\x{00a0}]"
+
+# --- lengths ---
+
+LIMITS = "source string, length int, n bigint, expected double, posterior double"
+
+
+def _upper_tail(a: np.ndarray) -> np.ndarray:
+    """Upper tail of the normal distribution (the usual rational approximation of the error function)."""
+    t = 1 / (1 + 0.2316419 * np.abs(a))
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    near = np.exp(-a * a / 2) / np.sqrt(2 * np.pi) * poly
+    return np.where(a >= 0, near, 1 - near)
+
+
+def censored_fit(length: np.ndarray, n: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """(mu, sigma, posterior of each length) of a log-normal histogram right-censored at its own limits.
+
+    For given limits, expectation maximisation: the logarithm of a censored length is replaced by its mean above the
+    limit. The limits are those lengths that hold far more than the density, and are found again until they stay.
+    """
+    x, total = np.log(length), n.sum()
+    post = np.zeros(len(x))
+    mu = (n * x).sum() / total
+    sigma = np.sqrt(max((n * (x - mu) ** 2).sum() / total, 1e-4))
+    for _ in range(50):
+        for _ in range(500):
+            a = (x - mu) / sigma
+            ratio = np.exp(-np.minimum(a * a, 1400) / 2) / np.sqrt(2 * np.pi) / np.maximum(_upper_tail(a), 1e-300)
+            ratio = np.where(a > 8, a + 1 / np.maximum(a, 1), ratio)  # its expansion far above the mean
+            m = x * (1 - post) + post * (mu + sigma * ratio)
+            spread = post * sigma**2 * np.maximum(0.0, 1 + a * ratio - ratio**2)
+            new_mu = (n * m).sum() / total
+            new_sigma = np.sqrt(max((n * ((m - new_mu) ** 2 + spread)).sum() / total, 1e-4))
+            moved = abs(new_mu - mu) + abs(new_sigma - sigma)
+            mu, sigma = new_mu, new_sigma
+            if moved < 1e-9:
+                break
+        z = (x - mu) / sigma
+        expected = total * np.exp(-z * z / 2) / (length * sigma * np.sqrt(2 * np.pi))
+        limit = (n >= LIMIT_TEXTS) & (n >= LIMIT_EXCESS * np.maximum(expected, 0.2))
+        new = np.where(limit, 1 - np.minimum(1.0, expected / n), 0.0)
+        if np.abs(new - post).max() < 1e-6:
+            break
+        post = new
+    return mu, sigma, post
 
 
 def length_limits(documents: DataFrame) -> DataFrame:
     """(source, length, n, expected, posterior): the candidate limits of each source.
 
-    documents(source, length) with the source normalised (null is a source of its own). The fit works on the
-    histogram of lengths: in each round lengths at the limits found so far count as censored (their logarithm is
-    replaced by its mean above the limit under the current fit), and limits are found again. ``posterior`` is the
-    share of the texts of that length that the density does not explain.
+    documents(source, length) with the source normalised (null is a source of its own, named ''). A source's histogram
+    of lengths, not its texts, is fitted in one task. ``posterior`` is the share of the texts of that length that the
+    density does not explain.
     """
     hist = documents.where("length > 0").groupBy(F.coalesce("source", F.lit("")).alias("source"), "length").agg(F.count(F.lit(1)).alias("n"))
-    scratch = Scratch(documents.sparkSession)
-    hist = scratch.put(hist.withColumn("x", F.log("length")), "lengths")
-    fit = scratch.put(_moments(hist.withColumn("m", F.col("x")).withColumn("v", F.lit(0.0))), "fit")
-    limits = None
-    for _ in range(EM_ROUNDS):
-        limits = _limits(hist, fit)
-        e = hist.join(fit, "source").join(limits.select("source", "length", "posterior"), ["source", "length"], "left")
-        a = (F.col("x") - F.col("mu")) / F.col("sigma")
-        mills = F.expr("exp(-least(a*a, 200)/2) / 2.5066282746310002 / greatest(tail, 1e-9)")
-        e = e.withColumn("a", a).withColumn("tail", _tail("a")).withColumn("h", mills)
-        p = F.coalesce("posterior", F.lit(0.0))
-        m = F.col("x") * (1 - p) + p * (F.col("mu") + F.col("sigma") * F.col("h"))
-        spread = p * F.col("sigma") ** 2 * F.greatest(F.lit(0.0), 1 + F.col("a") * F.col("h") - F.col("h") ** 2)
-        fit = scratch.put(_moments(e.select("source", "n", m.alias("m"), spread.alias("v"))), "fit")
-    return _limits(hist, fit)
-
-
-def _tail(a: str) -> Column:
-    """Upper tail of the normal distribution (the usual rational approximation of the error function)."""
-    t = f"(1 / (1 + 0.2316419 * abs({a})))"
-    poly = f"({t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
-    return F.expr(f"case when {a} >= 0 then exp(-least({a}*{a}, 200)/2) / 2.5066282746310002 * {poly} else 1 - exp(-least({a}*{a}, 200)/2) / 2.5066282746310002 * {poly} end")
 
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("length")
+        length, n = part["length"].to_numpy(np.float64), part["n"].to_numpy(np.float64)
+        _, _, post = censored_fit(length, n)
+        return part.assign(expected=n * (1 - post), posterior=post)[post > 0]
 
-def _moments(rows: DataFrame) -> DataFrame:
-    s = rows.groupBy("source").agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mu"), (F.sum(F.col("n") * (F.col("m") ** 2 + F.col("v"))) / F.sum("n")).alias("sq"))
-    return s.select("source", "total", "mu", F.sqrt(F.greatest(F.col("sq") - F.col("mu") ** 2, F.lit(1e-4))).alias("sigma"))
+    return hist.groupBy("source").applyInPandas(fit, LIMITS)
 
 
-def _limits(hist: DataFrame, fit: DataFrame) -> DataFrame:
-    j = hist.join(fit, "source")
-    z = (F.col("x") - F.col("mu")) / F.col("sigma")
-    j = j.withColumn("expected", F.col("total") * F.exp(-z * z / 2) / (F.col("length") * F.col("sigma") * math.sqrt(2 * math.pi)))
-    j = j.where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_EXCESS * F.greatest("expected", F.lit(0.2))))
-    return j.select("source", "length", "n", "expected", (1 - F.least(F.lit(1.0), F.col("expected") / F.col("n"))).alias("posterior"))
+# --- words of whole lines ---
 
 
 def _form(line: Column) -> Column:
-    """Coarse kind of a line."""
-    return (
-        F.when(line.rlike(r"^\s*\|"), "table")
-        .when(line.rlike(r"^\s*([-*+•]|\d{1,3}[.)])\s"), "list")
-        .when(line.rlike(r"^\s*#{1,6}\s"), "heading")
-        .when(line.rlike(r"^\s*\P{L}*\p{Ll}"), "casual")
-        .otherwise("prose")
-    )
+    """Coarse form of a line."""
+    return F.when(line.rlike(r"^\s*\|"), "table").when(line.rlike(r"^\s*([-*+•]|\d{1,3}[.)])\s"), "list").when(line.rlike(r"^\s*(#{1,6}\s|[^\p{L}]*\p{Lu})"), "prose").when(line.rlike(r"^\s*\P{L}*\p{Ll}"), "casual").otherwise("prose")
 
 
 def _tokens(line: Column) -> Column:
-    """Words of a line, digits alike and end punctuation off."""
-    return F.filter(F.split(F.regexp_replace(F.lower(line), r"\d", "0"), r"\s+"), lambda w: w != "")
+    """Words of a line in lower case, numbers alike."""
+    return F.filter(F.split(F.regexp_replace(F.lower(line), r"\d+", "0"), r"\s+"), lambda w: w != "")
 
 
 def _whole_lines(text: Column) -> Column:
@@ -93,7 +117,7 @@ def _whole_lines(text: Column) -> Column:
 
 
 def line_counts(documents: DataFrame) -> DataFrame:
-    """(form, pair, n_end, n_all) over whole list and casual lines of all documents: how often two consecutive
+    """documents(body) to (form, pair, n_end, n_all) over whole list and casual lines: how often two consecutive
     words (and, under ``pair`` with one word, a single one) occur, and how often they end their line."""
     lines = documents.select(F.explode(_whole_lines(F.col("body"))).alias("line")).select(_form(F.col("line")).alias("form"), _tokens(F.regexp_replace("line", r"[.!?]+\s*$", "")).alias("w")).where("form in ('list', 'casual') and size(w) > 0")
     pairs = F.transform("w", lambda x, i: F.struct(F.concat_ws(" ", F.when(i > 0, F.element_at("w", F.greatest(i, F.lit(1)))), x).alias("pair"), (i == F.size("w") - 1).cast("int").alias("last")))
@@ -102,93 +126,214 @@ def line_counts(documents: DataFrame) -> DataFrame:
 
 
 def openings(documents: DataFrame) -> DataFrame:
-    """(said, n_long): how many sentences of more than five words begin with these three."""
-    sentences = documents.select(F.explode(F.split("body", r"(?<=[.!?])\s+|\n+")).alias("s")).select(_tokens(F.col("s")).alias("w"))
-    return sentences.where("size(w) > 5").groupBy(F.concat_ws(" ", F.slice("w", 1, 3)).alias("said")).agg(F.count(F.lit(1)).alias("n_long"))
+    """documents(body) to (said, n_long): how many sentences of more than five words begin with these two."""
+    sentences = documents.select(F.explode(F.split("body", r"(?<=[.!?])\s+|\n+")).alias("s")).where(F.col("s").rlike(r"^\p{Lu}\S*\s+\S+\s+\S+\s+\S+\s+\S+\s+\S"))
+    said = F.regexp_replace(F.lower(F.regexp_extract("s", r"^(\S+\s+\S+)", 1)), r"\d+", "0")
+    return sentences.groupBy(said.alias("said")).agg(F.count(F.lit(1)).alias("n_long"))
+
+
+def beginnings(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(form, last) that are the beginning of a longer word of vocabulary(form, word).
+
+    In the order of words, the next word after a beginning begins with it. Words meet by their first two letters.
+    """
+    both = vocabulary.select("form", "word", F.lit(1).alias("held")).unionByName(asked.select("form", F.col("last").alias("word"), F.lit(0).alias("held")))
+    after = W.partitionBy("form", F.substring("word", 1, 2)).orderBy(F.desc("word"), "held").rowsBetween(W.unboundedPreceding, -1)
+    both = both.withColumn("next", F.last(F.when(F.col("held") == 1, F.col("word")), ignorenulls=True).over(after))
+    return both.where((F.col("held") == 0) & F.col("next").startswith(F.col("word")) & (F.col("next") != F.col("word"))).select("form", F.col("word").alias("last")).distinct()
+
+
+# --- endings ---
+
+_MARK = {"dots": r"\.{3}|\x{2026}", "tag": r"\[(?:\.{3}|\x{2026}|cut|truncated)\]|\((?:cut|truncated)\)", "broken": r"\x{fffd}+|&[a-zA-Z]{0,7}|&#[xX]?[0-9a-fA-F]{0,6}|<[/!]?\w{0,30}"}
 
 
 def endings(documents: DataFrame) -> DataFrame:
-    """documents(doc_id, source, text) with the signs of their endings: (doc_id, source, length, body, line, form, sure, w).
+    """documents(*, text) with the signs of their endings, the text left out: (length, mark, form, kind, w, said).
 
-    ``sure`` is the log odds that the shape of the ending alone gives for a cut (null where words must decide).
+    ``mark``: none, or what stands at the very end: dots, a tag that says so, or a broken character or entity.
+    ``kind`` is the kind of ending by its shape (null where words must decide).
     """
-    text = F.regexp_replace("text", r"[\s\x{00a0}]+$", "")
-    d = documents.select("doc_id", "source", F.length("text").alias("length"), text.alias("body")).where("body <> ''")
-    bare = F.regexp_replace("body", r"[\s\x{00a0}]*(\.{3}|\x{2026}|\[(\.{3}|\x{2026}|cut|truncated)\]|\((cut|truncated)\))$", "")
-    d = d.withColumn("bare", bare).withColumn("marked", F.col("bare") != F.col("body"))
-    d = d.withColumn("line", F.element_at(F.split("bare", "\n"), -1)).withColumn("form", _form(F.col("line")))
-    d = d.withColumn("fences", F.size(F.split("body", "```")) - 1).withColumn("last_sentence", F.regexp_extract("line", r"(?:^|[.!?]\s+)([^.!?]*(?:[.!?](?!\s)[^.!?]*)*)$", 1))
-    header = F.filter(F.split("body", "\n"), lambda s: s.rlike(r"^\s*\|"))
+    keep = [c for c in documents.columns if c != "text"]
+    d = documents.select("*", F.regexp_replace("text", f"{BLANK}+$", "").alias("body")).where("body <> ''")
+    mark = F.when(F.col("body").rlike(f"(?:{_MARK['broken']})$"), "broken").when(F.col("body").rlike(f"(?:{_MARK['tag']})$"), "tag").when(F.col("body").rlike(f"(?:{_MARK['dots']})$"), "dots").otherwise("none")
+    bare = F.when(F.col("mark") == "none", F.col("body")).otherwise(F.regexp_replace("body", f"{BLANK}*(?:{'|'.join(_MARK.values())})$", ""))
+    d = d.withColumn("mark", mark).withColumn("bare", bare)
+    line = F.element_at(F.split("bare", "\n"), -1)
+    open_code = (F.size(F.split("body", "```")) - 1) % 2 == 1
+    d = d.select(*keep, F.length("text").alias("length"), "body", "mark", "bare", line.alias("line"), open_code.alias("open_code"))
+    d = d.withColumn("form", F.when(F.col("open_code") | F.col("line").rlike(r"^\s*```"), "code").otherwise(_form(F.col("line"))))
+    last = F.when(F.col("form").isin("list", "casual"), F.col("line")).otherwise(F.regexp_extract("line", r"(?:^|[.!?]\s+)([^.!?]*(?:[.!?](?!\s)[^.!?]*)*)$", 1))
+    d = d.withColumn("last", last).withColumn("w", _tokens(F.col("last")))
+    rows = F.filter(F.split("body", "\n"), lambda s: s.rlike(r"^\s*\|"))
     cells = lambda s: F.size(F.split(s, r"\|"))
-    d = d.withColumn("short_row", (F.col("form") == "table") & (cells(F.col("line")) < cells(F.element_at(F.concat(header, F.array(F.col("line"))), 1))))
+    whole_row = F.col("line").rlike(r"\|\s*$") & (cells(F.col("line")) >= cells(F.element_at(F.concat(rows, F.array(F.col("line"))), 1)))
     paragraph = F.trim(F.element_at(F.split("bare", r"\n\s*\n"), -1))
-    points = F.regexp_count("body", F.lit(r"(?m)^\s*([-*+]|\d{1,3}[.)])\s.*[.]\s*$"))
-    items = F.regexp_count("body", F.lit(r"(?m)^\s*([-*+]|\d{1,3}[.)])\s"))
-    line = F.col("line")
-    broken = F.col("body").rlike(r"\x{fffd}$|&[a-zA-Z]{0,7}$|&#[xX]?[0-9a-fA-F]{0,6}$|<[/!]?\w{0,30}$")
-    decimal = line.rlike(r"(^|[\s(])0\.$")
-    remark = F.col("marked") & (F.size(_tokens(F.col("last_sentence"))) <= 5) & F.col("last_sentence").rlike(r"^\p{Lu}") & ~F.col("bare").rlike(r"[,;:]$")
-    sure = (
-        F.when(broken, 8.0)
-        .when(F.col("fences") % 2 == 1, 8.0)
-        .when(line.rlike(r"^\s*```"), -8.0)
-        .when(line.rlike(r"</\w+>$"), -8.0)
-        .when((F.col("form") == "table") & (~line.rlike(r"\|\s*$") | F.col("short_row")), 7.0)
-        .when(F.col("form") == "table", -6.0)
-        .when(decimal, 5.0)
-        .when(remark, F.lit(None).cast("double"))
-        .when(F.col("marked"), 5.0)
-        .when(line.rlike(r"https?://\S+$"), -5.0)
-        .when(line.rlike(r"^\s*(/|--\s|—\s?)\S+$"), -5.0)
-        .when(line.rlike(r"\([^()]*$"), 5.0)
-        .when(line.rlike(r"[.!?\x{2026}:][\"'\x{00bb}\x{201d})\]]*$|[)\]}]$"), -5.0)
-        .when(paragraph.rlike(r"^\p{Ll}[\p{Ll}._-]{4,}$") | paragraph.rlike(r"^\p{Lu}\p{Ll}+,?\s*\n\s*\S+$"), -4.0)
-        .when((F.col("form") == "list") & (points > 0) & (points == items - 1), 6.0)
-        .when(F.col("form") == "prose", 5.0)
+    n_items = lambda p: F.regexp_count("body", F.lit(p))
+    points, items = n_items(r"(?m)^\s*([-*+]|\d{1,3}[.)])\s.*[.]\s*$"), n_items(r"(?m)^\s*([-*+]|\d{1,3}[.)])\s")
+    c, marked = F.col("line"), F.col("mark") != "none"
+    remark = (F.col("mark") == "dots") & (F.col("form") == "prose") & (F.size("w") <= 5) & F.col("last").rlike(r"^\p{Lu}") & ~F.col("bare").rlike(r"[,;:]$|,[^.!?]*$")
+    kind = (
+        F.when(F.col("form") == "code", F.when(F.col("open_code"), "inside").otherwise("fence"))
+        .when(F.col("form") == "table", F.when(whole_row, "row").otherwise("cut_row"))
+        .when(c.rlike(r"</\w+>$"), "closing_tag")
+        .when(c.rlike(r"(^|[\s(])\d+\.$") & (F.col("form") != "list"), "number_point")
+        .when(remark, F.lit(None).cast("string"))
+        .when(c.rlike(r"https?://\S+$"), "link")
+        .when(c.rlike(r"^\s*(/|--\s|—\s?)\S+$"), "signature")
+        .when(c.rlike(r"\([^()]*$"), "open_bracket")
+        .when(c.rlike(r"[.!?\x{2026}:][\"'\x{00bb}\x{201d})\]]*$"), F.when(marked, "point_and_mark").otherwise("point"))
+        .when(c.rlike(r"[)\]}]$"), "bracket")
+        .when(paragraph.rlike(r"^\p{Ll}[\p{Ll}\d._-]{2,}$") | paragraph.rlike(r"^\p{Lu}\p{Ll}+,?\s*\n\s*\S+$"), "signed")
+        .when((F.col("form") == "list") & (points > 0) & (points == items - 1), "lacks_point")
+        .when(c.rlike(r"^\s*#{1,6}\s"), "heading")
+        .when((F.col("form") == "prose") & (F.size(F.split(F.trim("line"), r"\s+")) <= 3), F.when(c.rlike(",$"), "salutation").otherwise("few_words"))
+        .when(c.rlike(r"[,;(\[{/&+=-]$"), "joint")
+        .when(F.col("form") == "prose", "open")
     )
-    return d.withColumn("sure", sure).withColumn("remark", remark).withColumn("w", _tokens(F.when(F.col("remark"), F.col("last_sentence")).otherwise(F.col("line"))))
+    said = F.when(remark & (F.size("w") >= 2), F.concat_ws(" ", F.slice("w", 1, 2)))
+    return d.select(*keep, "length", "mark", "form", kind.alias("kind"), remark.alias("remark"), F.col("w"), said.alias("said"), F.regexp_extract("bare", r"(\S+)$", 1).alias("word"))
 
 
-def scores(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, length, evidence, posterior, log_odds) for every document with text.
+def worded(ends: DataFrame, counts: DataFrame, said: DataFrame) -> DataFrame:
+    """Endings whose kind the words must tell, with that kind.
 
-    documents(doc_id, text, source); repeated deliveries count once. ``log_odds`` above 0 is a cut. Null and
-    blank texts have no row.
+    A list entry or casual line: how often, in whole lines, its last words end a line (in steps of ``END_RATES``), or, for
+    a word of no whole line, whether it is a number, a name, the beginning of a word or none of these. A short remark
+    before dots: whether longer sentences begin like it. A signature: whether other texts end with it, or with a
+    longer one.
     """
-    scratch = Scratch(documents.sparkSession)
-    docs = documents.where("doc_id is not null and text is not null").select("doc_id", source_name(F.col("source")).alias("source"), "text").dropDuplicates(["doc_id"])
-    ends = scratch.put(endings(docs).select("doc_id", "source", "length", "form", "sure", "remark", "w", "bare"), "endings")
-    counts = scratch.put(line_counts(docs.select(F.regexp_replace("text", r"[\s\x{00a0}]+$", "").alias("body"))), "line_counts")
-    limits = length_limits(ends.select("source", "length"))
-    open_ = ends.where("sure is null").withColumn("last", F.element_at("w", -1)).withColumn("pair", F.concat_ws(" ", F.when(F.size("w") > 1, F.element_at("w", -2)), F.col("last")))
-    # a short remark before an ellipsis is whole unless longer sentences begin with it
-    remarks = openings(docs.select(F.col("text").alias("body")))
+    sure = ends.where("kind is not null and kind <> 'signed'").select(*(c for c in ends.columns if c not in ("w", "said", "remark", "word")))
+    keep = sure.columns
+    lines = ends.where("kind is null and not remark").withColumn("last", F.element_at("w", -1)).withColumn("pair", F.concat_ws(" ", F.when(F.size("w") > 1, F.element_at("w", -2)), F.col("last")))
     two = counts.select("form", "pair", F.col("n_end").alias("e2"), F.col("n_all").alias("a2"))
-    one = counts.select("form", F.col("pair").alias("one"), F.col("n_end").alias("e1"), F.col("n_all").alias("a1"))
-    vocabulary = counts.where(F.col("pair").startswith("\u0001")).select("form", F.substring("pair", 2, 1000).alias("word"))
-    starts = vocabulary.select("form", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("start")).distinct()
-    starts = starts.select("form", F.col("start").alias("last"), F.lit(True).alias("begins"))
-    j = open_.withColumn("one", F.concat(F.lit("\u0001"), "last")).join(two, ["form", "pair"], "left").join(one, ["form", "one"], "left").join(starts, ["form", "last"], "left")
-    j = j.withColumn("said", F.when(F.col("remark"), F.concat_ws(" ", F.slice("w", 1, 3)))).join(remarks, "said", "left").fillna(0, ["e2", "a2", "e1", "a1", "n_long"])
+    one = counts.where(F.col("pair").startswith("\u0001")).select("form", F.expr("substring(pair, 2)").alias("last"), F.col("n_end").alias("e1"), F.col("n_all").alias("a1"))
+    lines = lines.join(two, ["form", "pair"], "left").join(one, ["form", "last"], "left").fillna(0, ["e2", "a2", "e1", "a1"])
+    starts = beginnings(one.select("form", F.col("last").alias("word")), lines.where("a1 = 0").select("form", "last").distinct()).withColumn("begins", F.lit(True))
+    lines = lines.join(starts, ["form", "last"], "left")
     p1 = (F.col("e1") + 0.01) / (F.col("a1") + 0.5)
-    p2 = (F.col("e2") + p1) / (F.col("a2") + 1)  # the pair's rate of ending a line, backed off to the word's
-    number = F.col("last").rlike(r"^[0.,:%/-]+$")
-    words = (
-        F.when(F.col("remark"), F.when((F.size("w") >= 3) & (F.col("n_long") == 0) & ~F.col("bare").rlike(",[^.!?]*$"), -4.0).otherwise(4.0))
-        .when(F.col("a1") > 0, F.log((1 - p2 + 1e-6) / p2) + BETWEEN_WORDS)
-        .when(number, -2.0)
-        .when(F.coalesce("begins", F.lit(False)), 4.0)  # no word of any whole line, but the beginning of one
-        .otherwise(F.when(F.regexp_extract("bare", r"(\S+)$", 1).rlike(r"^\p{Lu}"), -2.0).otherwise(2.0))  # a name of its own, or a part of a word
-    )
-    judged = ends.where("sure is not null").select("doc_id", "source", "length", F.col("sure").alias("evidence")).unionByName(j.select("doc_id", "source", "length", words.alias("evidence")))
-    r = judged.withColumn("key", F.coalesce("source", F.lit(""))).join(limits.select(F.col("source").alias("key"), "length", "posterior"), ["key", "length"], "left")
-    p = F.coalesce("posterior", F.lit(0.0))
-    prior = F.when(p > 0, F.log(F.greatest(p, F.lit(0.02)) / F.greatest(1 - p, F.lit(0.02)))).otherwise(0.0)
-    return r.select("doc_id", "source", "length", "evidence", p.alias("posterior"), (F.col("evidence") + F.greatest(F.lit(-1.0), F.least(prior, F.lit(3.0)))).alias("log_odds"))
+    rate = (F.col("e2") + p1) / (F.col("a2") + 1)  # the pair's rate of ending a line, backed off to the word's
+    step = F.lit(0)
+    for r in END_RATES:
+        step = step + (rate >= r).cast("int")
+    words = F.when(F.col("a1") > 0, F.concat(F.lit("ends_"), step.cast("string"))).when(F.col("last").rlike(r"^[0.,:%/-]+$"), "number").when(F.coalesce("begins", F.lit(False)), "begins_word").otherwise(F.when(F.col("word").rlike(r"^\p{Lu}"), "name").otherwise("new_word"))
+    remarks = ends.where("kind is null and remark").join(said, "said", "left")
+    told = F.when(F.col("n_long") > 0, "remark_begun").when(F.size("w") >= 3, "remark").otherwise("short_remark")
+    signed = ends.where("kind = 'signed'").withColumn("last", F.lower("word"))
+    seen = signed.where("role = 'text'").groupBy("form", "last").agg(F.count(F.lit(1)).alias("n_same"))
+    longer = beginnings(seen.select("form", F.col("last").alias("word")), signed.select("form", "last").distinct()).withColumn("begins", F.lit(True))
+    signed = signed.join(seen, ["form", "last"], "left").join(longer, ["form", "last"], "left")
+    own = F.when(F.col("n_same") > (F.col("role") == "text").cast("int"), "signed_again").when(F.coalesce("begins", F.lit(False)), "signed_begun").otherwise("signed_once")
+    out = sure.unionByName(lines.withColumn("kind", words).select(*keep)).unionByName(remarks.withColumn("kind", told).select(*keep))
+    return out.unionByName(signed.withColumn("kind", own).select(*keep))
+
+
+# --- both together ---
+
+CELLS = "source string, at int, mark string, form string, kind string, evidence double, prior double, log_odds double"
+
+
+def combine(cells: pd.DataFrame, cuts: pd.DataFrame, stops: pd.DataFrame) -> pd.DataFrame:
+    """The log odds of a cut of every cell.
+
+    cells(source, at, posterior, mark, form, kind, n): texts counted by source, candidate limit (0: at none) with its
+    censoring posterior, and ending; cuts and stops(form, kind, n): the endings of texts that end here at a random
+    place and at the end of a random line before the last. In expectation maximisation the share of cuts in each group
+    (source and limit; its prior counts like two texts of the censoring posterior, or of the common rate at no limit),
+    the endings of whole texts and the marks of both are fitted; the endings of cuts are given, and kinds that cuts
+    leave and lines do not (``RARE``) are taken for none of whole texts (half a text), which is what tells the two apart.
+    Ends when no log odds move any more.
+    """
+    n, post = cells["n"].to_numpy(float), cells["posterior"].to_numpy(float)
+    group, groups = pd.factorize(cells["source"] + "\u0001" + cells["at"].astype(str))
+    name = lambda t: t["form"] + " " + t["kind"]
+    kinds = sorted({*name(cells), *name(cuts), *name(stops)})
+    at = {k: i for i, k in enumerate(kinds)}
+    kind = name(cells).map(at).to_numpy(int)
+    # a remark is one because of its dots, which then tell nothing more
+    mark, marks = pd.factorize(cells["mark"].where(~cells["kind"].isin(REMARKS), "none"))
+    one = lambda v: v / v.sum()
+    counted = lambda t: np.bincount(name(t).map(at).to_numpy(int), t["n"].to_numpy(float), len(kinds))
+    cut, line = one(counted(cuts) + 0.5), one(counted(stops) + 0.5)
+    anchor = (counted(cuts) >= 5) & (line <= RARE * cut)
+    free = post == 0
+    share = one(np.bincount(kind, n * free, len(kinds)) + 1e-9)
+
+    def endings_of(counts: np.ndarray) -> np.ndarray:
+        return one(np.where(anchor, 0.5 / n.sum(), counts + 0.1 / len(kinds) / n.sum()))
+
+    whole = endings_of(np.maximum(share - 0.05 * cut, 0.0))
+    p_group = np.bincount(group, post * n) / np.bincount(group, n)
+    limit = p_group > 0
+    pi = np.where(limit, np.clip(p_group, 0.05, 0.95), 0.05)
+    of_cut, of_whole = np.where(marks == "none", 0.6, 0.2), np.where(marks == "none", 0.97, 0.01)
+    old = None
+    for _ in range(5000):
+        evidence = np.log(cut / whole)[kind] + np.log(of_cut / of_whole)[mark]
+        prior = np.log(pi / (1 - pi))[group]
+        odds = evidence + prior
+        if old is not None and np.abs(odds - old).max() < 1e-6:
+            break
+        old, r = odds, 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        rate = float((n * r * free).sum() / max((n * free).sum(), 1.0))
+        pi = (np.bincount(group, n * r) + 2 * np.where(limit, p_group, rate)) / (np.bincount(group, n) + 2)
+        pi = np.clip(pi, 1e-6, 1 - 1e-6)
+        whole = endings_of(np.bincount(kind, n * (1 - r), len(kinds)) / n.sum())
+        of_cut = (np.bincount(mark, n * r, len(marks)) + 0.5) / (n @ r + 0.5 * len(marks))
+        of_whole = (np.bincount(mark, n * (1 - r), len(marks)) + 0.5) / (n @ (1 - r) + 0.5 * len(marks))
+    return cells.assign(evidence=evidence, prior=prior, log_odds=odds)
+
+
+def _fit_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts = list(batches)
+    t = pd.concat(parts) if parts else None
+    if t is None or not (t["role"] == "text").any():
+        return
+    of = lambda role: t[t["role"] == role].groupby(["form", "kind"], as_index=False)["n"].sum()
+    real = t[t["role"] == "text"].rename(columns={"key": "source"}).sort_values(["source", "at", "mark", "form", "kind"]).reset_index(drop=True)
+    yield combine(real, of("cut"), of("stop"))[[c.split()[0] for c in CELLS.split(", ")]]
+
+
+def tries(documents: DataFrame, rate: float) -> DataFrame:
+    """(doc_id, source, text, role) of a share of documents(doc_id, source, text), by hash: ended at a random place, every
+    other one with dots (role cut), and at the end of a random line before the last and outside code, which in prose must
+    be the last of its paragraph (role stop)."""
+    some = documents.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1).where("length(text) > 1")
+    place = (1 + F.pmod(F.xxhash64("doc_id", F.lit(12)), F.greatest(F.lit(1), F.length("text") - 1))).cast("int")
+    dots = F.when(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(2)) == 0, "...").otherwise("")
+    cut = some.select("doc_id", "source", F.concat(F.regexp_replace(F.substring("text", F.lit(1), place), f"{BLANK}+$", ""), dots).alias("text"), F.lit("cut").alias("role"))
+    lines = some.withColumn("lines", F.split(F.regexp_replace("text", f"{BLANK}+$", ""), "\n")).where("size(lines) > 1")
+    upto = (1 + F.pmod(F.xxhash64("doc_id", F.lit(14)), F.greatest(F.lit(1), F.size("lines") - 1))).cast("int")
+    lines = lines.withColumn("upto", upto).where((F.trim(F.element_at("lines", F.col("upto") + 1)) == "") | (_form(F.element_at("lines", F.col("upto"))) != "prose"))
+    stop = lines.select("doc_id", "source", F.array_join(F.slice("lines", F.lit(1), F.col("upto")), "\n").alias("text"), F.lit("stop").alias("role"))
+    return cut.unionByName(stop.where(F.size(F.split("text", "```")) % 2 == 1))
+
+
+def scores(documents: DataFrame, sample_cuts: int = SAMPLE_CUTS) -> DataFrame:
+    """(doc_id, source, length, form, kind, mark, posterior, evidence, prior, log_odds) for every document with text.
+
+    documents(doc_id, text, source); repeated deliveries count once. ``log_odds`` above 0 is a cut: ``evidence`` of the
+    ending plus the ``prior`` of its source and limit, which starts from the censoring ``posterior`` of its length. Null
+    and blank texts have no row. Whole texts are read where they lie; what is shuffled are endings and counts.
+    """
+    scratch = Scratch(documents.sparkSession)
+    docs = documents.where("doc_id is not null and text is not null").select("doc_id", source_name(F.col("source")).alias("source"), "text")
+    ends = scratch.put(endings(docs.withColumn("role", F.lit("text"))).dropDuplicates(["doc_id"]), "endings")
+    rate = min(1.0, sample_cuts / max(1, ends.count()))
+    tried = scratch.put(endings(tries(docs, rate)).dropDuplicates(["doc_id", "role"]), "tried")
+    counts = scratch.put(line_counts(docs.select(F.regexp_replace("text", f"{BLANK}+$", "").alias("body"))), "line_counts")
+    limits = scratch.put(length_limits(ends.select("source", "length")), "limits")
+    judged = worded(ends.unionByName(tried), counts, openings(docs.select(F.col("text").alias("body"))))
+    judged = judged.withColumn("key", F.coalesce("source", F.lit(""))).join(limits.select(F.col("source").alias("key"), "length", "posterior"), ["key", "length"], "left")
+    judged = scratch.put(judged.withColumn("posterior", F.coalesce("posterior", F.lit(0.0))).withColumn("at", F.when(F.col("posterior") > 0, F.col("length")).otherwise(0)), "judged")
+    cells = judged.groupBy("role", "key", "at", "posterior", "mark", "form", "kind").agg(F.count(F.lit(1)).alias("n"))
+    # as many rows as there are sources, limits and kinds of endings, whatever the number of texts
+    fitted = cells.coalesce(1).mapInPandas(_fit_cells, CELLS).withColumnRenamed("source", "key")
+    return judged.where("role = 'text'").join(fitted, ["key", "at", "mark", "form", "kind"]).select("doc_id", "source", "length", "form", "kind", "mark", "posterior", "evidence", "prior", "log_odds")
 
 
 def truncation_report(scored: DataFrame) -> DataFrame:
-    """Per source (null where a text has none): texts, texts cut, and the rate."""
+    """Per source (null where a text has none): texts, texts cut, texts cut at a candidate limit, and the rate."""
     g = scored.groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.sum((F.col("log_odds") > 0).cast("bigint")).alias("n_cut"), F.sum(((F.col("log_odds") > 0) & (F.col("posterior") > 0)).cast("bigint")).alias("n_cut_at_limit"))
     return g.withColumn("cut_rate", F.round(F.col("n_cut") / F.col("n_texts"), 6))
 

@@ -306,24 +306,61 @@ def test_tempering_stops_at_the_limit():
 # --- truncation ---
 
 
-def test_truncation(spark):
-    rng = random.Random(8)
+def corpus(rng, n):
+    """Texts with all the endings that authors give them."""
     verbs, things, ends = ["rerun", "check", "compare", "drop"], ["probe", "split", "cache", "gallery"], ["by hand", "over the weekend", "in two passes"]
     entry = lambda: f"- {rng.choice(verbs)} the {rng.choice(things)} {rng.choice(ends)}"
-    docs = [(i, "Some report of the day.\n" + "\n".join(entry() for _ in range(rng.randint(3, 30))), "notes") for i in range(300)]
+    sentence = lambda: f"{rng.choice(['The run', 'A reviewer', 'Every split', 'Their margin'])} {rng.choice(['moved', 'ended', 'settled', 'recovered'])} after {rng.randint(2, 90)} epochs, {rng.choice(['and', 'but', 'while'])} the {rng.choice(things)} {rng.choice(['grew', 'shrank', 'stayed flat'])} {rng.choice(ends)}."
+    prose = lambda k: "\n\n".join(" ".join(sentence() for _ in range(rng.randint(2, 5))) for _ in range(k))
+    rows = lambda: "| a | b |\n|---|---|\n" + "\n".join(f"| {rng.randint(1, 9)} | {rng.randint(1, 9)} |" for _ in range(rng.randint(1, 6)))
+    code = lambda: "```\n" + "\n".join(f"x{j} = {rng.randint(1, 99)}" for j in range(rng.randint(1, 6))) + "\n```"
+    listed = lambda: "\n".join(entry() for _ in range(rng.randint(3, 30)))
+    last = [lambda: prose(1)] * 8 + [rows, code, listed, listed, lambda: "See https://notes.example/a/1", lambda: "Regards\n" + rng.choice(["someone", "noname", "anyone"]), lambda: "</section>", lambda: "That was all. " + rng.choice(["To be continued...", "More to come..."])]
+    return ["\n\n".join([prose(rng.randint(1, 3)), *(f() for f in rng.sample([rows, code, listed, lambda: prose(1)], 2)), rng.choice(last)()]) for _ in range(n)]
+
+
+def test_truncation(spark):
+    rng = random.Random(8)
+    whole = corpus(rng, 900)
+    docs = [(i, t, "notes") for i, t in enumerate(whole)] + [(3000 + i, t[: rng.randint(20, len(t) - 20)], "mail") for i, t in enumerate(corpus(rng, 60))]
+    docs += [(4000 + i, t[:500], "forum") for i, t in enumerate(corpus(rng, 300))] + [(5000 + i, t, "mail") for i, t in enumerate(corpus(rng, 300))]
+    body = "The run moved after 5 epochs, and the cache grew by hand. "
     cases = {
-        1000: ("The run ended well. The margin of the", True), 1001: ("The run ended well.", False), 1002: ("x.\n- check the probe over the", True), 1003: ("x.\n- check the probe over the weekend", False),
-        1004: ("x.\n- check the gall", True), 1005: ("text\n```\ncode = 1", True), 1006: ("text\n```\ncode = 1\n```", False), 1007: ("| a | b |\n|---|---|\n| 1 | 2", True), 1008: ("| a | b |\n|---|---|\n| 1 | 2 |", False),
-        1009: ("It went from 0.5 to 0.", True), 1010: ("All done. See https://notes.example/a/1", False), 1011: ("All done.\n\nRegards\nsomeone", False), 1012: ("All done.\n\n</section>", False), 1013: ("All done. It was the end of the lon...", True),
-        1014: ("A caf�", True), 1015: ("All done. To be continued...", False), 1016: ("Tom &am", True),
+        1000: ("The run ended well. The margin of the", True), 1001: ("The run ended well.", False), 1002: (body + "\n\n- check the probe over the", True), 1003: (body + "\n\n- check the probe over the weekend", False),
+        1004: (body + "\n\n- check the gall", True), 1005: ("text\n```\ncode = 1", True), 1006: ("text\n```\ncode = 1\n```", False), 1007: ("| a | b |\n|---|---|\n| 1 | 2", True), 1008: ("| a | b |\n|---|---|\n| 1 | 2 |", False),
+        1010: ("All done. See https://notes.example/a/1", False), 1011: ("All done.\n\nRegards\nsomeone", False), 1012: ("All done.\n\n</section>", False), 1013: ("All done. The run moved after 12 epochs, and the cac...", True),
+        1014: ("The run moved after 12 epo\ufffd", True), 1015: ("All done. To be continued...", False), 1016: ("The run moved and Tom &am", True), 1017: ("All done. The run mov...", True),
     }
-    docs += [(i, t, None) for i, (t, _) in cases.items()] + [(2000, None, "notes"), (2001, "  ", "notes"), (0, docs[0][1], "notes")]
+    docs += [(i, t, None if i % 2 else "Mail ") for i, (t, _) in cases.items()] + [(2000, None, "notes"), (2001, "  ", "notes"), (2002, "x", "notes"), (0, whole[0], "notes"), (None, "cut in the mid", "notes")]
     s = T.scores(spark.createDataFrame(docs, "doc_id bigint, text string, source string").withColumn("length", F.lit("clash"))).cache()
-    got = {r.doc_id: r.log_odds > 0 for r in s.collect()}
+    rows = {r.doc_id: r for r in s.collect()}
+    got = {i: r.log_odds > 0 for i, r in rows.items()}
     assert {i: got[i] for i in cases} == {i: c for i, (_, c) in cases.items()}
-    assert 2000 not in got and 2001 not in got and sum(got[i] for i in range(300)) == 0
+    assert 2000 not in got and 2001 not in got and None not in got and sum(got[i] for i in range(900)) == 0 and not any(got[5000 + i] for i in range(300))
+    cut_off = [i for i in range(60) if not docs[900 + i][1].rstrip().endswith((".", "```", "|", "weekend", "hand", "passes"))]
+    assert sum(got[3000 + i] for i in cut_off) >= 0.9 * len(cut_off)
+    assert rows[4000].posterior > 0.9 and rows[0].posterior == 0  # the forum's limit
+    assert rows[4000].prior > rows[5000].prior + 3
     r = {x.source: x for x in T.truncation_report(s).collect()}
-    assert r["notes"].n_texts == 300 and r["notes"].n_cut == 0
+    assert r["notes"].n_texts == 901 and r["forum"].n_cut_at_limit >= 0.85 * 300
+    assert T.scores(spark.createDataFrame([], "doc_id bigint, text string, source string")).count() == 0
+    assert T.scores(spark.createDataFrame([(1, None, "a"), (2, "One text.", None)], "doc_id bigint, text string, source string")).count() == 1
+
+
+def test_the_prior_of_a_limit_decides():
+    import pandas as pd
+
+    cells = pd.DataFrame([("s", 0, 0.0, "none", "prose", "point", 900), ("s", 0, 0.0, "none", "prose", "sign", 60), ("s", 0, 0.0, "none", "prose", "open", 20), ("s", 500, 0.95, "none", "prose", "open", 80), ("s", 500, 0.95, "none", "prose", "sign", 6), ("s", 500, 0.95, "none", "prose", "point", 8)], columns=["source", "at", "posterior", "mark", "form", "kind", "n"])
+    cuts = pd.DataFrame([("prose", "open", 900), ("prose", "sign", 60), ("prose", "point", 10)], columns=["form", "kind", "n"])
+    stops = pd.DataFrame([("prose", "point", 900), ("prose", "sign", 40)], columns=["form", "kind", "n"])
+    r = {(x.at, x.kind): x.log_odds for x in T.combine(cells, cuts, stops).itertuples()}
+    assert r[0, "open"] > 0 > r[0, "sign"] and r[500, "sign"] > 0 > r[500, "point"]
+
+
+def test_beginnings_of_words(spark):
+    vocabulary = spark.createDataFrame([("list", w) for w in ("gallery", "gall", "probe", "x" * 3000)], "form string, word string")
+    asked = spark.createDataFrame([("list", w) for w in ("gal", "gall", "gallery", "galler", "prober", "g", "x" * 1500, "pro")] + [("casual", "gal")], "form string, last string")
+    assert {(r.form, r.last) for r in T.beginnings(vocabulary, asked).collect()} == {("list", w) for w in ("gal", "gall", "galler", "x" * 1500, "pro")}
 
 
 def test_limits(spark):
