@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 
 _names = itertools.count()
+_END = "end of the value"
 
 
 def bind(value: str, body) -> str:
@@ -16,22 +17,34 @@ def bind(value: str, body) -> str:
 def parsed(text: str) -> str:
     """SQL for the variant in a string expression; null where it is null, blank or damaged.
 
-    Text after the closing bracket counts as damage, and so does an object that repeats a key.
+    Text after the value counts as damage at any length, as the value is read inside an object that must end after it;
+    so does an object that repeats a key.
     """
-    return f"if({text} rlike '[}}\\\\]\"]\\\\s*$' or length({text}) < 40, try_parse_json({text}), cast(null as variant))"
+    inside = f"try_cast(try_parse_json(concat('{{\"v\":', {text}, ',\"{_END}\":0}}')) as map<string,variant>)"
+    return bind(inside, lambda m: f"if(size({m}) = 2 and {m}['{_END}'] is not null, {m}['v'], cast(null as variant))")
+
+
+def is_string(v: str) -> str:
+    """SQL that tells whether a variant holds a string, without looking into objects and arrays."""
+    return f"(try_variant_get({v}, '$', 'binary') is not null)"
 
 
 def unwrapped(v: str, times: int = 2) -> str:
-    """SQL for a variant that, where it holds a string, is parsed once more."""
+    """SQL for a variant that, where it holds a string with a readable value, is that value; other strings stay."""
     for _ in range(times):
-        v = bind(v, lambda x: f"if(schema_of_variant({x}) = 'STRING', try_parse_json(cast({x} as string)), {x})")
+        v = bind(v, lambda x: f"if({is_string(x)}, coalesce({parsed(f'cast({x} as string)')}, {x}), {x})")
     return v
 
 
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def field(v: str, *path: str) -> str:
     """SQL for the unwrapped variant at a path of object keys."""
     for name in path:
-        v = unwrapped(f"try_cast({v} as map<string,variant>)['{name}']", 1)
+        v = unwrapped(f"try_cast({v} as map<string,variant>)[{quoted(name)}]", 1)
     return v
 
 

@@ -1,18 +1,25 @@
 """Deeply nested semi-structured records into flat tables with parent-child links.
 
-A tree of child kinds is walked with variants: each array level becomes a child table whose rows carry the
-surrogate key of their parent, their own surrogate key and their ordinal. Lists, maps keyed by name, single
-objects where a list is usual and levels encoded once more as strings are all read alike. The columns of a
-child table come from the schema merged over all of its rows.
+The schema of all payloads is inferred and merged first: every path with the types it has. Each array in it becomes a
+level, a child table whose rows carry the surrogate key of their parent, their own surrogate key and their ordinal.
+Naming rules tell what a level is called, which fields name its entries and where an object is a map of entries; an
+array that no rule knows is a level named by its path. The levels are then exploded with variants. Lists, maps keyed by
+name, single objects where a list is usual and levels encoded once more as strings are all read alike. The columns of
+a child table come from the schema merged over all of its rows.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from embervane.functions.json import bind, field, json_type, parsed, unwrapped
+from embervane.functions.json import bind, field, json_type, parsed, quoted, unwrapped
 from embervane.session import table
 
 
@@ -30,13 +37,121 @@ class Child:
     maps: bool = True
 
 
-STRUCT = "struct<kind:string,parent_row:string,row:string,ordinal:int,parent_key:string,key:string,value:variant>"
+#: Paths that one set of payloads may have; more mean that names stand as keys where no rule says so.
+MAX_PATHS = 20_000
+LEVELS = "payload string, path array<string>, type string"
+
+
+def _unique(pairs: list) -> dict:
+    if len(out := dict(pairs)) != len(pairs):
+        raise ValueError("an object repeats a key")
+    return out
+
+
+def _number(text: str):
+    raise ValueError(text)
+
+
+def _paths(payload: str, rules: dict[tuple, Child], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct (payload, path, type) of a partition. ``[]`` stands for the entries of an array, of a map of entries, or
+    of a single object where a list is usual."""
+    read = lambda t: json.loads(t, object_pairs_hook=_unique, parse_constant=_number)
+    seen: set[tuple] = set()
+
+    def walk(v, path: tuple) -> None:
+        for _ in range(2):
+            if isinstance(v, str):
+                try:
+                    v = read(v)
+                except (ValueError, RecursionError):
+                    break
+        rule = rules.get(path)
+        if isinstance(v, list):
+            seen.add((path, "array"))
+            for x in v:
+                walk(x, (*path, "[]"))
+        elif isinstance(v, dict):
+            if rule is not None and not path[-1:] == ("[]",):
+                entries = list(v.values()) if rule.maps and not any(n in v for n in rule.names) else [v]
+                seen.add((path, "array"))
+                for x in entries:
+                    walk(x, (*path, "[]"))
+                return
+            seen.add((path, "object"))
+            for k, x in v.items():
+                walk(x, (*path, k))
+        else:
+            seen.add((path, {bool: "boolean", int: "integer", float: "number", str: "string"}.get(type(v), "null")))
+        if len(seen) > MAX_PATHS:
+            raise ValueError(f"more than {MAX_PATHS} paths, such as {path}: a map needs a naming rule")
+
+    for batch in batches:
+        for text in batch[payload]:
+            if text:
+                try:
+                    v = read(text)
+                except (ValueError, RecursionError):
+                    continue
+                walk(v, ())
+    yield pd.DataFrame([(payload, list(p), t) for p, t in sorted(seen)], columns=["payload", "path", "type"])
+
+
+def _rule_paths(payload: str, rules: tuple[Child, ...]) -> dict[tuple, Child]:
+    """Where the rules' levels lie below a payload: absolute path to rule."""
+    out: dict[tuple, Child] = {}
+
+    def below(kind: str, at: tuple, depth: int) -> None:
+        for c in rules:
+            if c.parent == kind and depth < 20:
+                for p in c.paths:
+                    out[(*at, *p)] = c
+                    below(c.kind, (*at, *p, "[]"), depth + 1)
+
+    below(payload, (), 0)
+    return out
+
+
+def inferred_schema(df: DataFrame, payloads: dict[str, str], rules: tuple[Child, ...]) -> DataFrame:
+    """(payload, path, types): the schema merged over all payloads, alternatives kept. Damaged payloads add nothing."""
+    out = None
+    for name, column in payloads.items():
+        at = _rule_paths(name, rules)
+        part = df.select(F.col(column).alias(name)).where(F.col(name).isNotNull()).mapInPandas(lambda it, name=name, at=at: _paths(name, at, it), LEVELS)
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("payload", "path").agg(F.array_sort(F.collect_set("type")).alias("types"))
+
+
+def levels(schema: list[tuple[str, list[str]]], rules: tuple[Child, ...]) -> tuple[Child, ...]:
+    """The rules and one more level for each array of the schema that no rule knows.
+
+    schema: (payload, path) of every array. A new level hangs below the level that encloses it and is called after its
+    path; an array right inside an array is the level ``<level>_entry``.
+    """
+    tree, taken, made = list(rules), {c.kind for c in rules}, {}
+    for payload in sorted({p for p, _ in schema}):
+        known: dict[tuple, str] = {p: c.kind for p, c in _rule_paths(payload, rules).items()}
+        for path in sorted((tuple(p) for q, p in schema if q == payload), key=len):
+            if path in known:
+                continue
+            marks = [i for i, x in enumerate(path) if x == "[]"]
+            start = marks[-1] + 1 if marks else 0
+            parent = known[path[: start - 1]] if marks else payload
+            rest = path[start:]
+            if (parent, rest) not in made:
+                name = re.sub(r"\W", "_", "_".join([parent, *(rest or ("entry",))]))
+                while name in taken:
+                    name += "_"
+                taken.add(name)
+                made[parent, rest] = name
+                tree.append(Child(name, parent, (rest,), (), maps=False))
+            known[path] = made[parent, rest]
+    return tuple(tree)
 
 
 def _items(v: str, c: Child) -> str:
     """SQL for array<struct<ordinal, key, value>> of the entries held by a variant."""
     part = lambda f: bind(f, lambda y: f"if({json_type(y)} in ('object', 'array'), null, cast({y} as string))")
-    name = lambda m: "coalesce(" + ", ".join([*(part(f"{m}['{n}']") for n in c.names), "cast(null as string)"]) + ")"
+    name = lambda m: "coalesce(" + ", ".join([*(part(f"{m}[{quoted(n)}]") for n in c.names), "cast(null as string)"]) + ")"
     struct = lambda i, key, e: f"named_struct('ordinal', {i}, 'key', {key}, 'value', {e})"
     entry = lambda e, i: bind(unwrapped(e, 1), lambda y: struct(i, name(f"try_cast({y} as map<string,variant>)"), y))
 
@@ -85,70 +200,63 @@ def merged_schema(rows: DataFrame) -> DataFrame:
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n_rows"), F.schema_of_variant_agg("value").alias("merged_schema"))
 
 
-def _fields(ddl: str) -> list[tuple[str, str]]:
-    """Top-level (name, type) of an OBJECT<...> schema text."""
-    out, depth, start, i, quoted = [], 0, 7, 7, False
-    while i < len(ddl):
-        ch = ddl[i]
-        if ch == "`":
-            quoted = not quoted
-        elif not quoted and ch in "<(":
-            depth += 1
-        elif not quoted and ch in ">)" and depth:
-            depth -= 1
-        elif not quoted and depth == 0 and ch in ",>":
-            name, _, kind = ddl[start:i].strip().rpartition(": ") if "<" not in ddl[start:i] else ddl[start:i].strip().partition(": ")
-            if name:
-                out.append((name.strip("`"), kind))
-            start = i + 1
-        i += 1
-    return out
-
-
 def child_table(rows: DataFrame, kind: str, id_col: str, schema: str) -> DataFrame:
     """The flat table of one kind: links, ordinal, key and one column per scalar field of the merged schema.
 
-    Objects inside an entry are flattened with ``_``; arrays belong to their own child tables or stay JSON.
-    Repeated deliveries of a record give one row.
+    Objects inside an entry are flattened with ``_``; arrays belong to their own child tables and are JSON here. An entry
+    that is no object has its value in ``entry``. Names may hold any sign. Repeated deliveries of a record give one row.
     """
     cols, used = [], {id_col, "row", "parent_row", "ordinal", "key"}
 
-    def add(prefix: str, path: str, ddl: str) -> None:
-        for name, t in _fields(ddl):
-            col, at = f"{prefix}{name}".replace("@", "_at_"), f"{path}[\"{name}\"]" if '"' not in name else None
-            if at is None:
+    def column(name: str, sql: str) -> None:
+        while name.lower() in used:
+            name += "_field"
+        used.add(name.lower())
+        cols.append(F.expr(sql).alias(name))
+
+    def add(prefix: str, at: str, struct: StructType) -> None:
+        for f in struct.fields:
+            col, value = f"{prefix}{f.name}".replace("@", "_at_").replace(".", "_").replace("`", "_"), f"try_cast({at} as map<string,variant>)[{quoted(f.name)}]"
+            if isinstance(f.dataType, StructType):
+                add(f"{col}_", value, f.dataType)
                 continue
-            if t.startswith("OBJECT<"):
-                add(f"{col}_", at, t)
-                continue
-            while col.lower() in used:
-                col += "_field"
-            used.add(col.lower())
-            sql = {"BIGINT": "bigint", "BOOLEAN": "boolean", "STRING": "string"}.get(t, "double" if t.startswith("DECIMAL") or t == "DOUBLE" else "string")
-            cols.append(F.expr(f"try_variant_get(value, '${at}', '{sql}')").alias(col))
+            t = f.dataType.simpleString()
+            sql = {"bigint": "bigint", "boolean": "boolean", "string": "string"}.get(t, "double" if t.startswith("decimal") or t == "double" else "string")
+            column(col, f"try_variant_get({value}, '$', '{sql}')")
 
     if schema.startswith("OBJECT<"):
-        add("", "", schema)
+        add("", "value", _parse_datatype_string(schema.replace("OBJECT<", "STRUCT<")))
+    elif schema:
+        column("entry", "try_variant_get(value, '$', 'string')")
     own = rows.where(F.col("kind") == kind)
     return own.select(id_col, "row", "parent_row", "ordinal", "key", *cols).dropDuplicates(["row"])
 
 
-REPORT_TREE = (
+#: Naming rules of the score reports.
+REPORT_RULES = (
     Child("probe", "report", (("metrics", "probes"),), ("name", "label")),
     Child("recipe", "probe", (("recipe",), ("recipes",)), ("recipe_id",), maps=False),
-    Child("fold", "probe", (("folds",),), ("fold",), maps=False),
     Child("architecture", "report", (("metrics", "mlp_recommendation_evidence", "architectures"),), ("architecture",), maps=False),
     Child("recipe", "architecture", (("recipe",),), ("recipe_id",), maps=False),
-    Child("step", "recipe", (("preprocessing",),), ("step",), maps=False),
-    Child("skipped", "report", (("skipped_diagnostics",),), ("kind",), maps=False),
     Child("class", "per_class", ((),), ("label", "name")),
     Child("confusion", "class", (("confusions",),), ("label", "name")),
     Child("worst_query", "diagnostics", (("worst_queries",),), ("query_id",), maps=False),
     Child("hit", "worst_query", (("hits",),), ("gallery_id",), maps=False),
 )
+REPORT_PAYLOADS = {"report": "report", "per_class": "per_class", "diagnostics": "diagnostics"}
 KINDS = ("probe", "recipe", "class", "confusion", "worst_query", "hit")
 
 
+def exploded(df: DataFrame, id_col: str, payloads: dict[str, str], rules: tuple[Child, ...]) -> tuple[DataFrame, tuple[Child, ...]]:
+    """The child rows of every array level that the payloads have, and the levels; see ``children``."""
+    arrays = inferred_schema(df, payloads, rules).where(F.array_contains("types", "array")).select("payload", "path").collect()  # as large as the schema
+    tree = levels([(r["payload"], r["path"]) for r in arrays], rules)
+    return children(df, id_col, payloads, tree), tree
+
+
+def score_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "score_reports").select("report_id", "report", "per_class", "diagnostics")
+
+
 def report_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reports = table(spark, sf_dir, "score_reports").select("report_id", "report", "per_class", "diagnostics")
-    return children(reports, "report_id", {"report": "report", "per_class": "per_class", "diagnostics": "diagnostics"}, REPORT_TREE)
+    return exploded(score_reports(spark, sf_dir), "report_id", REPORT_PAYLOADS, REPORT_RULES)[0]
