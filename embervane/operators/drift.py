@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from embervane.functions.json import bind, field, json_type, parsed, unwrapped
+from embervane.functions.json import bind, field, json_type, parsed, quoted, unwrapped
 from embervane.session import Scratch, table
 
 TYPES = ("boolean", "integer", "number", "string", "array", "object")
@@ -32,10 +32,16 @@ def parsed_rows(lines: DataFrame) -> DataFrame:
     return base.selectExpr("line_id", "stream_id", "file_seq", "line_no", "row_no", "evaluation_index", "try_cast(fields['extractor'] as string) as extractor", "status", "fields")
 
 
-def file_schemas(rows: DataFrame) -> DataFrame:
+def typed_cells(rows: DataFrame) -> DataFrame:
+    """Each row with the type and a hash of the value of each of its fields, as ``cells``: what is left of the lines once
+    they are parsed. Values are hashed as JSON (1 and 1.0 are equal), an absent key is like a null."""
+    cell = f"struct(e.key, struct({json_type('e.value')} as type, xxhash64(coalesce(to_json(e.value), 'null')) as h))"
+    return rows.selectExpr("stream_id", "file_seq", "evaluation_index", "extractor", f"map_from_entries(transform(map_entries(fields), e -> {cell})) as cells")
+
+
+def file_schemas(cells: DataFrame) -> DataFrame:
     """The tagged union of each file: (stream_id, file_seq, field, types), types without null, sorted."""
-    entries = f"transform(map_entries(fields), e -> struct(e.key as field, {json_type('e.value')} as type))"
-    seen = rows.selectExpr("stream_id", "file_seq", f"inline({entries})")
+    seen = cells.selectExpr("stream_id", "file_seq", "inline(transform(map_entries(cells), e -> struct(e.key as field, e.value.type as type)))")
     real = F.array_remove(F.collect_set("type"), "null")
     return seen.groupBy("stream_id", "file_seq", "field").agg(F.array_sort(real).alias("types"))
 
@@ -66,39 +72,40 @@ def _difference(schemas: DataFrame) -> DataFrame:
     return both.withColumn("kind", kind).where("kind is not null").select("stream_id", "file_seq", "prev_seq", "field", "kind")
 
 
-def renames(rows: DataFrame, difference: DataFrame) -> DataFrame:
+def renames(cells: DataFrame, difference: DataFrame) -> DataFrame:
     """(stream_id, file_seq, field, new_field) for fields that went and came with equal values.
 
-    Values are compared as JSON (1 equals 1.0) over all rows that both files hold, matched by
-    evaluation_index and extractor; an absent key and a null are equal; without a shared row there is no
-    rename. Where several fits exist, the first by name wins on both sides.
+    Hashes are compared over all rows that both files hold, matched by evaluation_index and extractor; without a
+    shared row there is no rename. Where several fits exist, they are taken in the order of names, each field once.
     """
     side = lambda kind, seq: difference.where(F.col("kind") == kind).groupBy("stream_id", F.col("file_seq").alias("cur_seq"), F.col(seq).alias("file_seq")).agg(F.collect_set("field").alias("wanted"))
     gone, come = side("removed", "prev_seq"), side("added", "file_seq")
     both = gone.select("stream_id", "cur_seq").join(come.select("stream_id", "cur_seq"), ["stream_id", "cur_seq"], "left_semi")
-    keyed = rows.where("extractor is not null and evaluation_index is not null")
+    keyed = cells.where("extractor is not null and evaluation_index is not null")
 
     def values(files: DataFrame, name: str) -> DataFrame:
         files = files.join(both, ["stream_id", "cur_seq"], "left_semi")
-        value = F.expr("transform(wanted, f -> struct(f as field, coalesce(to_json(fields[f]), 'null') as value))")
+        value = F.expr("transform(wanted, f -> struct(f as field, coalesce(cells[f].h, xxhash64('null')) as h))")
         return keyed.join(files, ["stream_id", "file_seq"]).select("stream_id", "cur_seq", "evaluation_index", "extractor", value.alias(name))
 
     pairs = values(gone, "old").join(values(come, "new"), ["stream_id", "cur_seq", "evaluation_index", "extractor"])
     pairs = pairs.select("stream_id", "cur_seq", F.explode("old").alias("o"), "new").select("stream_id", "cur_seq", "o", F.explode("new").alias("n"))
-    fits = pairs.groupBy("stream_id", F.col("cur_seq").alias("file_seq"), F.col("o.field").alias("field"), F.col("n.field").alias("new_field")).agg(F.bool_and(F.col("o.value") == F.col("n.value")).alias("fit")).where("fit")
-    first = lambda by, then: F.row_number().over(W.partitionBy("stream_id", "file_seq", by).orderBy(then))
-    return fits.withColumn("a", first("field", "new_field")).withColumn("b", first("new_field", "field")).where("a = 1 and b = 1").select("stream_id", "file_seq", "field", "new_field")
+    fits = pairs.groupBy("stream_id", F.col("cur_seq").alias("file_seq"), F.col("o.field").alias("field"), F.col("n.field").alias("new_field")).agg(F.bool_and(F.col("o.h") == F.col("n.h")).alias("fit")).where("fit")
+    fits = fits.groupBy("stream_id", "file_seq").agg(F.array_sort(F.collect_list(F.struct("field", "new_field"))).alias("fits"))  # a file's fields
+    taken = "aggregate(fits, cast(array() as array<struct<field:string,new_field:string>>), (a, x) -> if(exists(a, y -> y.field = x.field or y.new_field = x.new_field), a, array_append(a, x)))"
+    return fits.selectExpr("stream_id", "file_seq", f"inline({taken})")
 
 
 def changes(rows: DataFrame) -> DataFrame:
     """(stream_id, file_seq, change_kind, field, new_field): every change against the next lower file of the stream.
 
-    The file schemas and their differences, far smaller than the data, are written to the shared scratch
-    folder, so that the lines are parsed once for them and once for the values of renamed fields.
+    The lines are parsed once, and their cells written to the shared scratch folder; file schemas and their
+    differences, far smaller, follow from these.
     """
     scratch = Scratch(rows.sparkSession)
-    diff = scratch.put(_difference(scratch.put(file_schemas(rows), "schemas")), "difference")
-    ren = scratch.put(renames(rows, diff), "renames")
+    cells = scratch.put(typed_cells(rows), "cells")
+    diff = scratch.put(_difference(scratch.put(file_schemas(cells), "schemas")), "difference")
+    ren = scratch.put(renames(cells, diff), "renames")
     involved = ren.select("stream_id", "file_seq", F.explode(F.array(F.struct(F.col("field"), F.lit("removed").alias("kind")), F.struct(F.col("new_field").alias("field"), F.lit("added").alias("kind")))).alias("x")).select("stream_id", "file_seq", "x.*")
     rest = diff.join(involved, ["stream_id", "file_seq", "field", "kind"], "left_anti")
     return rest.select("stream_id", "file_seq", F.col("kind").alias("change_kind"), "field", F.lit("").alias("new_field")).unionByName(ren.select("stream_id", "file_seq", F.lit("renamed").alias("change_kind"), "field", "new_field"))
@@ -138,7 +145,7 @@ def unified(rows: DataFrame, fused: list[tuple[str, list[str], str]]) -> DataFra
     names = column_names([f for f, _, _ in fused], tuple(keys))
     cols = []
     for f, types, canonical in sorted(fused):
-        v = "fields['" + f.replace("\\", "\\\\").replace("'", "\\'") + "']"
+        v = f"fields[{quoted(f)}]"
         cols.append(_read(v, "any" if canonical == "string" and types != ["string"] else canonical).alias(names[f]))
         if len(types) > 1:
             cols += [_read(v, t).alias(f"{names[f]}_as_{t}") for t in types]
