@@ -1,7 +1,8 @@
 """Session, table and scratch helpers.
 
 Everything that has to survive a lost executor is written below the folder that the cluster names in
-``spark.checkpoint.dir``; only where that setting is absent (tests, a laptop) is a temporary folder used.
+``spark.checkpoint.dir``; only where that setting is absent and the master is local (tests, a laptop) is a temporary
+folder used.
 """
 
 from __future__ import annotations
@@ -36,10 +37,13 @@ _local_root: str | None = None
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
+    """The shared folder for intermediate tables; a cluster without one is an error, as its executors share no disk."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     global _local_root
     if _local_root is None:
         _local_root = "file://" + tempfile.mkdtemp(prefix="embervane-")
