@@ -20,18 +20,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from embervane.llm.mixing import source_name
 from embervane.session import Scratch, table
 
-#: A length is a candidate limit where it holds this many times what the fitted density expects, and at least so many texts.
+#: A length is a candidate limit where it holds this many times what the fitted density expects and what the lengths
+#: within 5 % hold in the mean, and at least so many texts.
 LIMIT_EXCESS, LIMIT_TEXTS = 6.0, 5
 #: Texts, in the mean, that are cut at random places to learn the endings of cuts (all of them in a smaller corpus).
-SAMPLE_CUTS = 50_000
+SAMPLE_CUTS = 20_000
 #: Rates at which a word ends its line that tell kinds of endings apart.
 END_RATES = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3)
 
 #: A kind of ending is none of whole texts where line ends have it this much less often than cuts.
 RARE = 0.05
-REMARKS = ("remark", "short_remark", "remark_begun")
+REMARKS = ("remark", "short_remark", "remark_begun", "remark_again")
 
-BLANK = r"[\s\x{00a0}]"
+SPACE = " \t\n\r\f\v\u00a0"
 
 # --- lengths ---
 
@@ -50,9 +51,13 @@ def censored_fit(length: np.ndarray, n: np.ndarray) -> tuple[float, float, np.nd
     """(mu, sigma, posterior of each length) of a log-normal histogram right-censored at its own limits.
 
     For given limits, expectation maximisation: the logarithm of a censored length is replaced by its mean above the
-    limit. The limits are those lengths that hold far more than the density, and are found again until they stay.
+    limit. The limits are those lengths that hold far more than the density and their surroundings, and are found again
+    until they stay.
     """
     x, total = np.log(length), n.sum()
+    upto = np.concatenate([[0.0], np.cumsum(n)])
+    near = np.searchsorted(length, 0.95 * length, "left"), np.searchsorted(length, 1.05 * length, "right")
+    around = (upto[near[1]] - upto[near[0]] - n) / np.maximum(1.0, np.floor(1.05 * length) - np.ceil(0.95 * length))
     post = np.zeros(len(x))
     mu = (n * x).sum() / total
     sigma = np.sqrt(max((n * (x - mu) ** 2).sum() / total, 1e-4))
@@ -71,7 +76,7 @@ def censored_fit(length: np.ndarray, n: np.ndarray) -> tuple[float, float, np.nd
                 break
         z = (x - mu) / sigma
         expected = total * np.exp(-z * z / 2) / (length * sigma * np.sqrt(2 * np.pi))
-        limit = (n >= LIMIT_TEXTS) & (n >= LIMIT_EXCESS * np.maximum(expected, 0.2))
+        limit = (n >= LIMIT_TEXTS) & (n >= LIMIT_EXCESS * np.maximum(np.maximum(expected, around), 0.2))
         new = np.where(limit, 1 - np.minimum(1.0, expected / n), 0.0)
         if np.abs(new - post).max() < 1e-6:
             break
@@ -155,24 +160,27 @@ def endings(documents: DataFrame) -> DataFrame:
     ``kind`` is the kind of ending by its shape (null where words must decide).
     """
     keep = [c for c in documents.columns if c != "text"]
-    d = documents.select("*", F.regexp_replace("text", f"{BLANK}+$", "").alias("body")).where("body <> ''")
-    mark = F.when(F.col("body").rlike(f"(?:{_MARK['broken']})$"), "broken").when(F.col("body").rlike(f"(?:{_MARK['tag']})$"), "tag").when(F.col("body").rlike(f"(?:{_MARK['dots']})$"), "dots").otherwise("none")
-    bare = F.when(F.col("mark") == "none", F.col("body")).otherwise(F.regexp_replace("body", f"{BLANK}*(?:{'|'.join(_MARK.values())})$", ""))
-    d = d.withColumn("mark", mark).withColumn("bare", bare)
-    line = F.element_at(F.split("bare", "\n"), -1)
-    open_code = (F.size(F.split("body", "```")) - 1) % 2 == 1
-    d = d.select(*keep, F.length("text").alias("length"), "body", "mark", "bare", line.alias("line"), open_code.alias("open_code"))
+    d = documents.select(*keep, F.length("text").alias("length"), F.rtrim("text", F.lit(SPACE)).alias("body")).where("body <> ''")
+    # what tells a mark is shorter than the tail
+    tail = F.substring("body", -100, 100)
+    found = {m: F.regexp_extract(tail, f"({p})$", 1) for m, p in _MARK.items()}
+    mark = F.when(found["broken"] != "", "broken").when(found["tag"] != "", "tag").when(found["dots"] != "", "dots").otherwise("none")
+    cut_by = F.when(F.col("mark") == "broken", F.length(found["broken"])).when(F.col("mark") == "tag", F.length(found["tag"])).when(F.col("mark") == "dots", F.length(found["dots"])).otherwise(0)
+    d = d.withColumn("mark", mark)
+    d = d.withColumn("bare", F.rtrim(F.substring("body", F.lit(1), F.length("body") - cut_by), F.lit(SPACE)))
+    d = d.withColumn("line", F.substring_index("bare", "\n", -1)).withColumn("open_code", (F.length("body") - F.length(F.replace("body", F.lit("```"), F.lit("")))) % 6 == 3)
     d = d.withColumn("form", F.when(F.col("open_code") | F.col("line").rlike(r"^\s*```"), "code").otherwise(_form(F.col("line"))))
-    last = F.when(F.col("form").isin("list", "casual"), F.col("line")).otherwise(F.regexp_extract("line", r"(?:^|[.!?]\s+)([^.!?]*(?:[.!?](?!\s)[^.!?]*)*)$", 1))
+    last = F.when(F.col("form").isin("list", "casual"), F.col("line")).when((F.col("form") == "prose") & (F.col("mark") == "dots"), F.element_at(F.split("line", r"(?<=[.!?])\s+"), -1)).otherwise("")
     d = d.withColumn("last", last).withColumn("w", _tokens(F.col("last")))
     rows = F.filter(F.split("body", "\n"), lambda s: s.rlike(r"^\s*\|"))
     cells = lambda s: F.size(F.split(s, r"\|"))
     whole_row = F.col("line").rlike(r"\|\s*$") & (cells(F.col("line")) >= cells(F.element_at(F.concat(rows, F.array(F.col("line"))), 1)))
-    paragraph = F.trim(F.element_at(F.split("bare", r"\n\s*\n"), -1))
     n_items = lambda p: F.regexp_count("body", F.lit(p))
     points, items = n_items(r"(?m)^\s*([-*+]|\d{1,3}[.)])\s.*[.]\s*$"), n_items(r"(?m)^\s*([-*+]|\d{1,3}[.)])\s")
     c, marked = F.col("line"), F.col("mark") != "none"
-    remark = (F.col("mark") == "dots") & (F.col("form") == "prose") & (F.size("w") <= 5) & F.col("last").rlike(r"^\p{Lu}") & ~F.col("bare").rlike(r"[,;:]$|,[^.!?]*$")
+    alone, bare = r"(?:^|\n\s*\n)\s*", F.col("bare")
+    signed = (c.rlike(r"^\s*\p{Ll}[\p{Ll}\d._-]{2,}$") & bare.rlike(alone + r"\p{Ll}[\p{Ll}\d._-]{2,}$")) | (c.rlike(r"^\s*\S+$") & bare.rlike(alone + r"\p{Lu}\p{Ll}+,?\s*\n\s*\S+$"))
+    remark = (F.col("mark") == "dots") & (F.col("form") == "prose") & F.size("w").between(1, 5) & F.col("last").rlike(r"^\p{Lu}") & ~F.col("last").rlike(r"[,;:]$|,[^.!?]*$")
     kind = (
         F.when(F.col("form") == "code", F.when(F.col("open_code"), "inside").otherwise("fence"))
         .when(F.col("form") == "table", F.when(whole_row, "row").otherwise("cut_row"))
@@ -184,10 +192,10 @@ def endings(documents: DataFrame) -> DataFrame:
         .when(c.rlike(r"\([^()]*$"), "open_bracket")
         .when(c.rlike(r"[.!?\x{2026}:][\"'\x{00bb}\x{201d})\]]*$"), F.when(marked, "point_and_mark").otherwise("point"))
         .when(c.rlike(r"[)\]}]$"), "bracket")
-        .when(paragraph.rlike(r"^\p{Ll}[\p{Ll}\d._-]{2,}$") | paragraph.rlike(r"^\p{Lu}\p{Ll}+,?\s*\n\s*\S+$"), "signed")
+        .when(signed, "signed")
         .when((F.col("form") == "list") & (points > 0) & (points == items - 1), "lacks_point")
         .when(c.rlike(r"^\s*#{1,6}\s"), "heading")
-        .when((F.col("form") == "prose") & (F.size(F.split(F.trim("line"), r"\s+")) <= 3), F.when(c.rlike(",$"), "salutation").otherwise("few_words"))
+        .when((F.col("form") == "prose") & (F.size(F.split(F.trim("line"), r"\s+")) <= 3), F.when(c.rlike(r"^\D*,$"), "salutation").otherwise("few_words"))
         .when(c.rlike(r"[,;(\[{/&+=-]$"), "joint")
         .when(F.col("form") == "prose", "open")
     )
@@ -200,7 +208,7 @@ def worded(ends: DataFrame, counts: DataFrame, said: DataFrame) -> DataFrame:
 
     A list entry or casual line: how often, in whole lines, its last words end a line (in steps of ``END_RATES``), or, for
     a word of no whole line, whether it is a number, a name, the beginning of a word or none of these. A short remark
-    before dots: whether longer sentences begin like it. A signature: whether other texts end with it, or with a
+    before dots: whether longer sentences begin like it, else whether other texts end with it. A signature: whether other texts end with it, or with a
     longer one.
     """
     sure = ends.where("kind is not null and kind <> 'signed'").select(*(c for c in ends.columns if c not in ("w", "said", "remark", "word")))
@@ -217,8 +225,10 @@ def worded(ends: DataFrame, counts: DataFrame, said: DataFrame) -> DataFrame:
     for r in END_RATES:
         step = step + (rate >= r).cast("int")
     words = F.when(F.col("a1") > 0, F.concat(F.lit("ends_"), step.cast("string"))).when(F.col("last").rlike(r"^[0.,:%/-]+$"), "number").when(F.coalesce("begins", F.lit(False)), "begins_word").otherwise(F.when(F.col("word").rlike(r"^\p{Lu}"), "name").otherwise("new_word"))
-    remarks = ends.where("kind is null and remark").join(said, "said", "left")
-    told = F.when(F.col("n_long") > 0, "remark_begun").when(F.size("w") >= 3, "remark").otherwise("short_remark")
+    remarks = ends.where("kind is null and remark").withColumn("whole", F.concat_ws(" ", "w"))
+    again = remarks.where("role = 'text'").groupBy("whole").agg(F.count(F.lit(1)).alias("n_same"))
+    remarks = remarks.join(again, "whole", "left").join(said, "said", "left")
+    told = F.when(F.col("n_long") > 0, "remark_begun").when(F.col("n_same") > (F.col("role") == "text").cast("int"), "remark_again").when(F.size("w") >= 3, "remark").otherwise("short_remark")
     signed = ends.where("kind = 'signed'").withColumn("last", F.lower("word"))
     seen = signed.where("role = 'text'").groupBy("form", "last").agg(F.count(F.lit(1)).alias("n_same"))
     longer = beginnings(seen.select("form", F.col("last").alias("word")), signed.select("form", "last").distinct()).withColumn("begins", F.lit(True))
@@ -255,9 +265,10 @@ def combine(cells: pd.DataFrame, cuts: pd.DataFrame, stops: pd.DataFrame) -> pd.
     one = lambda v: v / v.sum()
     counted = lambda t: np.bincount(name(t).map(at).to_numpy(int), t["n"].to_numpy(float), len(kinds))
     cut, line = one(counted(cuts) + 0.5), one(counted(stops) + 0.5)
-    anchor = (counted(cuts) >= 5) & (line <= RARE * cut)
     free = post == 0
     share = one(np.bincount(kind, n * free, len(kinds)) + 1e-9)
+    # not what is too frequent to be all cuts, nor remarks, as lines have no dots
+    anchor = (counted(cuts) >= 5) & (line <= RARE * cut) & (share <= cut / 2) & ~np.array([k.endswith(REMARKS) for k in kinds])
 
     def endings_of(counts: np.ndarray) -> np.ndarray:
         return one(np.where(anchor, 0.5 / n.sum(), counts + 0.1 / len(kinds) / n.sum()))
@@ -301,8 +312,8 @@ def tries(documents: DataFrame, rate: float) -> DataFrame:
     some = documents.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1).where("length(text) > 1")
     place = (1 + F.pmod(F.xxhash64("doc_id", F.lit(12)), F.greatest(F.lit(1), F.length("text") - 1))).cast("int")
     dots = F.when(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(2)) == 0, "...").otherwise("")
-    cut = some.select("doc_id", "source", F.concat(F.regexp_replace(F.substring("text", F.lit(1), place), f"{BLANK}+$", ""), dots).alias("text"), F.lit("cut").alias("role"))
-    lines = some.withColumn("lines", F.split(F.regexp_replace("text", f"{BLANK}+$", ""), "\n")).where("size(lines) > 1")
+    cut = some.select("doc_id", "source", F.concat(F.rtrim(F.substring("text", F.lit(1), place), F.lit(SPACE)), dots).alias("text"), F.lit("cut").alias("role"))
+    lines = some.withColumn("lines", F.split(F.rtrim("text", F.lit(SPACE)), "\n")).where("size(lines) > 1")
     upto = (1 + F.pmod(F.xxhash64("doc_id", F.lit(14)), F.greatest(F.lit(1), F.size("lines") - 1))).cast("int")
     lines = lines.withColumn("upto", upto).where((F.trim(F.element_at("lines", F.col("upto") + 1)) == "") | (_form(F.element_at("lines", F.col("upto"))) != "prose"))
     stop = lines.select("doc_id", "source", F.array_join(F.slice("lines", F.lit(1), F.col("upto")), "\n").alias("text"), F.lit("stop").alias("role"))
@@ -321,7 +332,7 @@ def scores(documents: DataFrame, sample_cuts: int = SAMPLE_CUTS) -> DataFrame:
     ends = scratch.put(endings(docs.withColumn("role", F.lit("text"))).dropDuplicates(["doc_id"]), "endings")
     rate = min(1.0, sample_cuts / max(1, ends.count()))
     tried = scratch.put(endings(tries(docs, rate)).dropDuplicates(["doc_id", "role"]), "tried")
-    counts = scratch.put(line_counts(docs.select(F.regexp_replace("text", f"{BLANK}+$", "").alias("body"))), "line_counts")
+    counts = scratch.put(line_counts(docs.select(F.rtrim("text", F.lit(SPACE)).alias("body"))), "line_counts")
     limits = scratch.put(length_limits(ends.select("source", "length")), "limits")
     judged = worded(ends.unionByName(tried), counts, openings(docs.select(F.col("text").alias("body"))))
     judged = judged.withColumn("key", F.coalesce("source", F.lit(""))).join(limits.select(F.col("source").alias("key"), "length", "posterior"), ["key", "length"], "left")
