@@ -8,32 +8,69 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from embervane.operators.compression import second_moments
+
+
+def fold_moments(rows: DataFrame, width: int) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """rows(vec, fold) to fold -> (n, sum, X'X) in one pass: partial Gram matrices of each partition and fold."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            x, fold = np.stack(b["vec"].to_numpy()).astype(np.float64) if len(b) else np.empty((0, width)), b["fold"].to_numpy()
+            x = np.concatenate([np.ones((len(x), 1)), x], 1)  # the Gram matrix with a constant holds n and the sums
+            for f in np.unique(fold):
+                own = x[fold == f]
+                held[int(f)] = held.get(int(f), 0) + own.T @ own
+        if held:
+            yield pd.DataFrame({"fold": list(held), "g": [g.ravel() for g in held.values()]})
+
+    flat = rows.select("vec", "fold").mapInPandas(part, "fold int, g array<double>").select("fold", F.posexplode("g").alias("pos", "x"))
+    out: dict[int, np.ndarray] = {}
+    for r in flat.groupBy("fold", "pos").agg(F.sum("x").alias("x")).collect():  # folds times dimensions squared
+        out.setdefault(r["fold"], np.zeros((width + 1) ** 2))[r["pos"]] = r["x"]
+    grams = {f: g.reshape(width + 1, width + 1) for f, g in out.items()}
+    return {f: (g[0, 0], g[0, 1:], g[1:, 1:]) for f, g in grams.items()}
 
 
 def ridge_out_of_fold(rows: DataFrame, k: int, alpha: float = 1.0) -> DataFrame:
     """rows(row_id, vec, target, fold) to (row_id, target, fold, predicted): exact ridge with free intercept.
 
-    Each fold is predicted by the solution for the other folds, from Gram matrices that partitions sum up.
+    ``target`` is a number or an array of them (one solution for each). Each fold is predicted by the solution for the
+    other folds, whose Gram matrices are the whole less its own. A constant target is predicted as it is.
     """
-    out = None
-    joint = rows.withColumn("vec", F.concat(F.col("vec").cast("array<double>"), F.array(F.col("target").cast("double"))))
-    for f in range(k):
-        n, s, g = second_moments(joint.where(F.col("fold") != f))
+    many = dict(rows.dtypes)["target"].startswith("array")
+    target = F.col("target").cast("array<double>") if many else F.array(F.col("target").cast("double"))
+    joint = rows.select(F.concat(F.col("vec").cast("array<double>"), target).alias("vec"), "fold", F.size(target).alias("m"))
+    size = joint.agg(F.max(F.size("vec")).alias("width"), F.max("m").alias("m")).first()
+    kind = "array<double>" if many else "double"
+    if size["width"] is None:
+        return rows.select("row_id", F.col("target").cast(kind).alias("target"), "fold", F.lit(None).cast(kind).alias("predicted"))
+    m = size["m"]
+    moments = fold_moments(joint, size["width"])
+    solved: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for f in moments:
+        others = [v for g, v in moments.items() if g != f]
+        if not others:
+            raise ValueError("a probe needs at least two folds")
+        n, s, g = (sum(v[i] for v in others) for i in range(3))
         mean = s / n
         c = g - n * np.outer(mean, mean)
-        w = np.linalg.solve(c[:-1, :-1] + alpha * np.eye(len(s) - 1), c[:-1, -1])
-        b = float(mean[-1] - mean[:-1] @ w)
+        w = np.linalg.solve(c[:-m, :-m] + alpha * np.eye(len(s) - m), c[:-m, -m:])
+        solved[f] = (w, mean[-m:] - mean[:-m] @ w)
+    sent = rows.sparkSession.sparkContext.broadcast(solved)
 
-        def predict(batches: Iterator[pd.DataFrame], w=w, b=b) -> Iterator[pd.DataFrame]:
-            for p in batches:
-                if len(p):
-                    x = np.stack(p["vec"].to_numpy()).astype(np.float64)
-                    yield pd.DataFrame({"row_id": p["row_id"], "target": p["target"].astype(float), "fold": p["fold"], "predicted": x @ w + b})
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            if len(p):
+                x = np.stack(p["vec"].to_numpy()).astype(np.float64)
+                z = np.empty((len(x), m))
+                for f in p["fold"].unique():
+                    at = (p["fold"] == f).to_numpy()
+                    w, b = sent.value[int(f)]
+                    z[at] = x[at] @ w + b
+                yield pd.DataFrame({"row_id": p["row_id"], "target": p["target"], "fold": p["fold"], "predicted": list(z) if many else z[:, 0]})
 
-        part = rows.where(F.col("fold") == f).select("row_id", "vec", "target", "fold").mapInPandas(predict, "row_id bigint, target double, fold int, predicted double")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return rows.select("row_id", "vec", F.col("target").cast(kind).alias("target"), F.col("fold").cast("int").alias("fold")).mapInPandas(predict, f"row_id {dict(rows.dtypes)['row_id']}, target {kind}, fold int, predicted {kind}")
 
 
 def logistic_out_of_fold(rows: DataFrame, k: int, c: float = 1.0, max_iter: int = 200) -> DataFrame:
@@ -44,7 +81,7 @@ def logistic_out_of_fold(rows: DataFrame, k: int, c: float = 1.0, max_iter: int
     data = rows.select("row_id", array_to_vector(F.col("vec").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label"), "fold")
     out = None
     for f in range(k):
-        train = data.where(F.col("fold") != f).repartition("fold")
+        train = data.where(F.col("fold") != f)
         n = train.count()
         model = LogisticRegression(regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter).fit(train)
         part = model.transform(data.where(F.col("fold") == f)).select("row_id", F.col("label").cast("bigint").alias("label"), F.col("prediction").cast("bigint").alias("predicted"))

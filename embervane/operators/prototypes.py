@@ -18,6 +18,8 @@ from embervane.session import Scratch
 
 #: Most prototype values that are sent to every task.
 MAX_VALUES = 20_000_000
+#: Rows of a class that its prototypes are fitted on.
+FIT_ROWS = 20_000
 
 
 def class_prototypes(prompts: DataFrame, keys: tuple[str, ...] = ("label",)) -> DataFrame:
@@ -29,27 +31,57 @@ def class_prototypes(prompts: DataFrame, keys: tuple[str, ...] = ("label",)) ->
     return v.select(*keys, V.unit(F.col("mean"), strict=True).alias("vec"), V.norm(F.col("mean")).alias("coherence"), "n_prompts")
 
 
-def zero_shot(samples: DataFrame, prototypes: DataFrame, metric: str = "cosine", top_k: tuple[int, ...] = (1, 5), keys: tuple[str, ...] = ()) -> DataFrame:
-    """samples(row_id, label, vec) to (row_id, label, predicted, margin, tie, top_<k>): classes by falling similarity,
-    ties to the lower class. ``keys`` (as template) give one prediction per value."""
-    s = samples.select("row_id", F.col("label").alias("truth"), (V.unit(F.col("vec"), strict=True) if metric == "cosine" else V.doubles(F.col("vec"))).alias("v"))
-    p = prototypes.select(*keys, F.col("label").alias("cls"), F.col("vec"))
-    listed = p.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cls", "vec"))).alias("protos"))
-    sim = (lambda a, b: -V.squared_l2(a, b)) if metric == "squared_l2" else V.dot
-    j = s.join(_small_lists(listed))
-    scored = F.array_sort(F.transform("protos", lambda x: F.struct((-F.round(sim(F.col("v"), x["vec"]), 12)).alias("d"), x["cls"].alias("cls"))))
-    j = j.select(*keys, "row_id", "truth", scored.alias("r"))
-    place = F.array_position(F.transform("r", lambda x: x["cls"]), F.col("truth"))
-    second = F.when(F.size("r") > 1, F.element_at("r", 2)["d"] - F.element_at("r", 1)["d"])
-    tops = [((place > 0) & (place <= k)).cast("int").alias(f"top_{k}") for k in top_k]
-    return j.select(*keys, "row_id", F.col("truth").alias("label"), F.element_at("r", 1)["cls"].alias("predicted"), second.alias("margin"), F.coalesce(second == 0, F.lit(False)).alias("tie"), *tops)
-
-
-def _small_lists(listed: DataFrame) -> DataFrame:
-    n = listed.agg(F.coalesce(F.sum(F.aggregate("protos", F.lit(0), lambda a, x: a + F.size(x["vec"]))), F.lit(0)).alias("n")).first()["n"]
+def _held(prototypes: DataFrame, keys: list[str]) -> tuple[list[tuple], np.ndarray]:
+    """The keys and the matrix of prototypes, in order; their size is checked before they come to the driver."""
+    n = prototypes.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("n")).first()["n"]
     if n > MAX_VALUES:
         raise ValueError(f"{n} prototype values are more than the {MAX_VALUES} that are sent to every task")
-    return F.broadcast(listed)
+    rows = prototypes.select(*keys, V.doubles(F.col("vec")).alias("vec")).orderBy(*keys).collect()
+    return [tuple(r[k] for k in keys) for r in rows], np.array([r["vec"] for r in rows], float).reshape(len(rows), -1)
+
+
+def _rows(b: pa.RecordBatch, strict: bool, unit: bool) -> np.ndarray:
+    x = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+    if unit:
+        n = np.sqrt((x * x).sum(1, keepdims=True))
+        if strict and not (n > 0).all():
+            raise ValueError("a vector of zero norm has no direction")
+        x = x / np.where(n > 0, n, 1.0)
+    return x
+
+
+def zero_shot(samples: DataFrame, prototypes: DataFrame, metric: str = "cosine", top_k: tuple[int, ...] = (1, 5), keys: tuple[str, ...] = ()) -> DataFrame:
+    """samples(row_id, label, vec) to (row_id, label, predicted, margin, tie, top_<k>): classes by falling similarity,
+    ties to the lower class. ``keys`` (as template) give one prediction per value. A batch of samples meets the matrix
+    of all prototypes in one product."""
+    names, matrix = _held(prototypes, [*keys, "label"])
+    sets: dict[tuple, list[int]] = {}
+    for i, n in enumerate(names):
+        sets.setdefault(n[:-1], []).append(i)
+    kinds = dict(prototypes.dtypes)
+    id_type, label_type = dict(samples.dtypes)["row_id"], dict(samples.dtypes)["label"]
+    sent = samples.sparkSession.sparkContext.broadcast((names, matrix, sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix, sets = sent.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, truth = _rows(b, True, metric == "cosine"), b.column("label").to_pylist()
+            for key, at in sets.items():
+                p, classes = matrix[at], [names[i][-1] for i in at]
+                s = np.round(2 * x @ p.T - (x * x).sum(1)[:, None] - (p * p).sum(1) if metric == "squared_l2" else x @ p.T, 12)
+                order = np.argsort(-s, axis=1, kind="stable")
+                place = {c: i for i, c in enumerate(classes)}
+                own = np.array([place.get(t, -1) for t in truth])
+                rank = np.where(own >= 0, (order == own[:, None]).argmax(1), len(at))
+                first = np.take_along_axis(s, order[:, :1], 1)[:, 0]
+                gap = first - np.take_along_axis(s, order[:, 1:2], 1)[:, 0] if len(at) > 1 else None
+                cols = [*(pa.array([k] * len(x)) for k in key), b.column("row_id"), b.column("label"), pa.array([classes[i] for i in order[:, 0]]), pa.array(gap if gap is not None else [None] * len(x), pa.float64()), pa.array(gap == 0 if gap is not None else [False] * len(x), pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array((rank < k).astype(np.int32)) for k in top_k)], names=[*keys, "row_id", "label", "predicted", "margin", "tie", *(f"top_{k}" for k in top_k)])
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"row_id {id_type}", f"label {label_type}", f"predicted {kinds['label']}", "margin double", "tie boolean", *(f"top_{k} int" for k in top_k)])
+    return samples.select("row_id", "label", "vec").mapInArrow(run, schema)
 
 
 def confusion(predictions: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -97,8 +129,9 @@ def centroids(rows: DataFrame) -> DataFrame:
     return m.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("vec")).select("label", F.lit(0).cast("bigint").alias("proto_id"), "vec")
 
 
-def kmeans_prototypes(rows: DataFrame, counts: DataFrame, rounds: int = 20, seed: int = 42) -> DataFrame:
-    """k-means per class (k of ``auto_k``) with numpy, one class a task."""
+def kmeans_prototypes(rows: DataFrame, counts: DataFrame, rounds: int = 20, seed: int = 42, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """k-means per class (k of ``auto_k``) with numpy, one class a task, fitted on at most ``fit_rows`` rows of a class in
+    the mean, chosen by hash: the bound keeps a class that holds most of the rows out of one task."""
     import pandas as pd
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
@@ -106,30 +139,52 @@ def kmeans_prototypes(rows: DataFrame, counts: DataFrame, rounds: int = 20, seed
         x, k = np.stack(part["vec"].to_numpy()), int(part["k"].iloc[0])
         c = x[np.random.default_rng(seed).permutation(len(x))[:k]].copy()
         for _ in range(rounds):
-            home = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1) if len(x) * k * x.shape[1] < 5e7 else (2 * x @ c.T - (c * c).sum(1)).argmax(1)
-            for j in range(k):
-                if (home == j).any():
-                    c[j] = x[home == j].mean(0)
-        return pd.DataFrame({"label": part["label"].iloc[0], "proto_id": range(k), "vec": list(c)})
-
-    unit = rows.select("row_id", "label", V.unit(F.col("vec")).alias("vec")).join(counts.select("label", "k"), "label")
+            home = _homes(x, c)
+            n = np.bincount(home, minlength=len(c))
+            total = np.stack([np.bincount(home, x[:, j], len(c)) for j in range(x.shape[1])], 1)
+            moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+            rests = np.allclose(moved, c, rtol=0, atol=1e-12)
+            c = moved
+            if rests:
+                break
+        return pd.DataFrame({"label": part["label"].iloc[0], "proto_id": range(len(c)), "vec": list(c)})
+
+    some = F.pmod(F.xxhash64("row_id", F.lit(3)), F.lit(1 << 30)) < F.least(F.lit(1.0), F.lit(fit_rows) / F.col("n")) * (1 << 30)
+    unit = rows.select("row_id", "label", "vec").join(counts.select("label", "k", "n"), "label").where((F.col("n") <= fit_rows) | some)
     kind = dict(rows.dtypes)["label"]
-    return unit.groupBy("label").applyInPandas(fit, f"label {kind}, proto_id bigint, vec array<double>")
+    return unit.select("row_id", "label", "k", V.unit(F.col("vec")).alias("vec")).groupBy("label").applyInPandas(fit, f"label {kind}, proto_id bigint, vec array<double>")
 
 
 def overlap_events(rows: DataFrame, prototypes: DataFrame) -> DataFrame:
     """(row_id, label, foreign): the foreign class met among the two nearest prototypes of each row, null if none.
 
     A row meets a foreign class if its nearest prototype is foreign, or the second one is and its own class has
-    at least two. Ties go to the lower class, then to the lower prototype.
+    at least two. Ties go to the lower class, then to the lower prototype. Batches of rows meet the matrix of all
+    prototypes in one product. Without a prototype no row meets any.
     """
-    listed = prototypes.agg(F.array_sort(F.collect_list(F.struct(F.col("label").alias("cls"), "proto_id", "vec"))).alias("protos"))
-    own = prototypes.groupBy("label").agg(F.count(F.lit(1)).alias("k_own"))
-    j = rows.select("row_id", "label", V.unit(F.col("vec")).alias("v")).join(_small_lists(listed))
-    near = F.slice(F.array_sort(F.transform("protos", lambda p: F.struct(F.round(V.squared_l2(F.col("v"), p["vec"]), 12).alias("d"), p["cls"].alias("cls"), p["proto_id"].alias("p")))), 1, 2)
-    j = j.select("row_id", "label", F.transform(near, lambda x: x["cls"]).alias("near")).join(F.broadcast(own), "label", "left")
-    a, b = F.element_at("near", 1), F.when(F.size("near") > 1, F.element_at("near", 2))
-    return j.select("row_id", "label", F.when(a != F.col("label"), a).when((F.col("k_own") >= 2) & (b != F.col("label")), b).alias("foreign"))
+    names, matrix = _held(prototypes, ["label", "proto_id"])
+    kinds = dict(rows.dtypes)
+    sent = rows.sparkSession.sparkContext.broadcast((names, matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, p = sent.value
+        classes = np.array([n[0] for n in names], object)
+        n_own = {c: int((classes == c).sum()) for c in set(classes)}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            truth = b.column("label").to_pylist()
+            foreign = [None] * len(truth)
+            if len(p):
+                x = _rows(b, False, True)
+                d = np.round((x * x).sum(1)[:, None] + (p * p).sum(1) - 2 * x @ p.T, 12)
+                near = classes[np.argsort(d, axis=1, kind="stable")[:, :2]]
+                for i, t in enumerate(truth):
+                    met = next((c for j, c in enumerate(near[i]) if c != t and t is not None and (j == 0 or n_own.get(t, 0) >= 2)), None)
+                    foreign[i] = met
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("label"), pa.array(foreign, b.column("label").type)], names=["row_id", "label", "foreign"])
+
+    return rows.select("row_id", "label", "vec").mapInArrow(run, f"row_id {kinds['row_id']}, label {kinds['label']}, foreign {kinds['label']}")
 
 
 def overlap_per_class(events: DataFrame) -> DataFrame:

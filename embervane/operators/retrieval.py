@@ -1,19 +1,25 @@
 """Exact similarity ranking and retrieval metrics.
 
-Similarities are matrix products over Arrow batches of the gallery against blocks of queries. No gallery is
-sorted: the rank of a positive is one more than the gallery rows that beat it, which partial counts add up to.
+Similarities are matrix products. A gallery of bounded size goes to every task, and each Arrow batch of queries is
+ranked and measured where it lies (``query_scores``, ``label_scores``). Beyond that, Arrow batches of the gallery meet
+blocks of queries (``ranks``): no gallery is sorted then, as the rank of a positive is one more than the gallery rows
+that beat it, which partial counts add up to. Both give the same metrics.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Values of queries held by a task at once; larger query sets are handled block by block.
 BLOCK_VALUES = 4_000_000
+#: Most values of a gallery that is sent to every task, and similarities that a task holds at once.
+GALLERY_VALUES, BLOCK_SCORES = 20_000_000, 4_000_000
 
 
 def _matrix(col: pa.Array, normalize: bool) -> np.ndarray:
@@ -52,7 +58,7 @@ def ranks(queries: DataFrame, gallery: DataFrame, relevance: DataFrame, exclusio
 
     queries(q, vec), gallery(g, vec), relevance(q, g, grade > 0), exclusions(q, g). Rank counts eligible gallery
     rows of higher similarity, and of equal similarity and lower id. Excluded pairs are neither candidates nor
-    positives; a query without positives has no row. Queries come to the driver block by block.
+    positives; a query without positives has no row. Queries and their positives come to the driver block by block.
     """
     rel = relevance.where("grade > 0").select("q", "g", F.col("grade").cast("double").alias("grade"))
     if exclusions is not None:
@@ -130,11 +136,14 @@ def ranks(queries: DataFrame, gallery: DataFrame, relevance: DataFrame, exclusio
 def query_metrics(ranked: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """Per query: mrr, map, precision, recall, hit and ndcg at each k, and the margin to the nearest negative.
 
-    Gains are 2^grade - 1, taken relative to 2^(highest grade of the query), so that no grade overflows.
+    Gains are 2^grade - 1, by their logarithms relative to that of the highest grade of the query, so that neither huge
+    nor tiny grades leave the range of numbers.
     """
     by = W.partitionBy("q")
     r = ranked.withColumn("j", F.row_number().over(by.orderBy("rank"))).withColumn("ideal", F.row_number().over(by.orderBy(F.col("grade").desc(), "g"))).withColumn("top", F.max("grade").over(by))
-    gain = F.pow(F.lit(2.0), F.col("grade") - F.col("top")) - F.pow(F.lit(2.0), -F.col("top"))
+    x = lambda c: F.col(c) * math.log(2)
+    log_gain = lambda c: F.when(x(c) > 30, x(c) + F.log1p(-F.exp(-F.least(x(c), F.lit(700.0))))).otherwise(F.log(F.expm1(x(c))))
+    gain = F.exp(log_gain("grade") - log_gain("top"))
     log2 = lambda c: F.log2(c + 1)
     aggs: list[Column] = [F.count(F.lit(1)).alias("n_positive"), (1 / F.min("rank")).alias("mrr"), F.avg(F.col("j") / F.col("rank")).alias("map")]
     for k in ks:
@@ -145,6 +154,122 @@ def query_metrics(ranked: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFr
     return r.groupBy("q").agg(*aggs, (F.max("score") - F.max("nearest_negative")).alias("margin"))
 
 
+def _log_gain(grades: np.ndarray) -> np.ndarray:
+    x = grades * np.log(2)
+    with np.errstate(over="ignore", divide="ignore"):
+        return np.where(x > 30, x + np.log1p(-np.exp(-np.minimum(x, 700))), np.log(np.expm1(np.minimum(x, 700))))
+
+
+def _measure(s: np.ndarray, grades: np.ndarray, eligible: np.ndarray, ks: tuple[int, ...]) -> dict[str, np.ndarray]:
+    """The metrics of ``query_metrics`` for rows of similarities to a gallery in the order of its ids."""
+    grades = np.where(eligible, grades, 0.0)
+    s = np.where(eligible, s, -np.inf)
+    order = np.argsort(-s, axis=1, kind="stable")  # ties to the lower id
+    g = np.take_along_axis(grades, order, 1)
+    hit, place = g > 0, np.arange(1, s.shape[1] + 1)
+    n = hit.sum(1)
+    if not n.all():
+        raise ValueError("a query has no positive left in the gallery")
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(hit, np.exp(_log_gain(np.where(hit, g, 1.0)) - _log_gain(g.max(1))[:, None]), 0.0)
+    out = {"n_positive": n, "mrr": 1 / (hit.argmax(1) + 1), "map": (hit * hit.cumsum(1) / place).sum(1) / n}
+    ideal = -np.sort(-gain, axis=1)
+    discount = 1 / np.log2(place + 1)
+    for k in ks:
+        found = hit[:, :k].sum(1)
+        out |= {f"precision_{k}": found / k, f"recall_{k}": found / n, f"hit_{k}": (found > 0).astype(float), f"ndcg_{k}": np.minimum(1.0, (gain[:, :k] @ discount[:k]) / (ideal[:, :k] @ discount[:k]))}
+    positive = grades > 0
+    negative = np.where(~positive & eligible, s, -np.inf).max(1)
+    out["margin"] = np.where(positive, s, -np.inf).max(1) - negative
+    return out
+
+
+def _fits(gallery: DataFrame) -> bool:
+    size = gallery.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()  # two numbers
+    return (size["n"] or 0) * (size["d"] or 0) <= GALLERY_VALUES
+
+
+def _scored(queries: DataFrame, gallery: DataFrame, ks: tuple[int, ...], metric: str, grade_of) -> DataFrame:
+    """Metrics of every query row against a gallery that goes to every task; ``grade_of(batch, gallery)`` gives the grades
+    and what is eligible."""
+    held = gallery.orderBy("g").toArrow().combine_chunks()  # at most GALLERY_VALUES values
+    columns = {c: held.column(c) for c in held.column_names}
+    sent = gallery.sparkSession.sparkContext.broadcast(columns)
+    names = ["n_positive", "mrr", "map", *(f"{m}_{k}" for k in ks for m in ("precision", "recall", "hit", "ndcg")), "margin"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vec = sent.value["vec"]
+        g = _matrix(vec.combine_chunks() if isinstance(vec, pa.ChunkedArray) else vec, metric == "cosine")
+        step = max(1, BLOCK_SCORES // max(1, len(g)))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                b = whole.slice(lo, step)
+                s = similarity(_matrix(b.column("vec"), metric == "cosine"), g, metric)
+                m = _measure(s, *grade_of(b, sent.value), ks)
+                margin = pa.array(m.pop("margin"), pa.float64())
+                margin = pc.if_else(pc.is_finite(margin), margin, pa.scalar(None, pa.float64()))
+                cols = [b.column("q"), pa.array(m["n_positive"], pa.int64()), *(pa.array(m[c], pa.float64()) for c in names[1:-1]), margin]
+                yield pa.RecordBatch.from_arrays(cols, names=["q", *names])
+
+    return queries.mapInArrow(run, "q bigint, n_positive bigint, " + ", ".join(f"{c} double" for c in names[1:]))
+
+
+def label_scores(rows: DataFrame, ks: tuple[int, ...] = (1, 5, 10), metric: str = "cosine") -> DataFrame:
+    """rows(row_id, label, vec) to the metrics of each row as a query for the other rows of its label.
+
+    Relevance is read from the labels where the similarities are, so no pair is written. Rows with a null label are
+    candidates but no queries. A label with one row is an error.
+    """
+    labelled = rows.where("label is not null")
+    codes = labelled.select("label").distinct().withColumn("code", F.xxhash64("label"))
+    coded = rows.join(codes, "label", "left").select(F.col("row_id").alias("g"), "vec", F.coalesce("code", F.lit(0)).alias("code"))
+    queries = coded.where("code <> 0").withColumnRenamed("g", "q")
+    if not _fits(coded):
+        return query_metrics(ranks(queries.select("q", "vec"), coded.select("g", "vec"), label_relevance(labelled, "row_id", "label"), exclude_self=True, metric=metric), ks)
+
+    def grades(b: pa.RecordBatch, gallery: dict) -> tuple[np.ndarray, np.ndarray]:
+        ids, code = gallery["g"].to_numpy(), gallery["code"].to_numpy()
+        return (b.column("code").to_numpy()[:, None] == code).astype(float), b.column("q").to_numpy()[:, None] != ids
+
+    return _scored(queries, coded, ks, metric, grades)
+
+
+def query_scores(queries: DataFrame, gallery: DataFrame, relevance: DataFrame, exclusions: DataFrame | None = None, ks: tuple[int, ...] = (1, 5, 10), metric: str = "cosine", exclude_self: bool = False) -> DataFrame:
+    """The metrics of every query: queries(q, vec), gallery(g, vec), relevance(q, g, grade), exclusions(q, g).
+
+    Excluded pairs are neither candidates nor positives. Relevance to a row that is not in the gallery counts for
+    nothing; a query without a positive is an error.
+    """
+    rel = relevance.where("grade > 0").groupBy("q").agg(F.collect_list("g").alias("ids"), F.collect_list(F.col("grade").cast("double")).alias("grades"))
+    if not _fits(gallery):
+        return query_metrics(ranks(queries, gallery, relevance, exclusions, metric, exclude_self), ks)
+    q = queries.select("q", "vec").join(rel, "q", "left")
+    if exclusions is not None:
+        q = q.join(exclusions.groupBy("q").agg(F.collect_set("g").alias("banned")), "q", "left")
+
+    def grades(b: pa.RecordBatch, gallery: dict) -> tuple[np.ndarray, np.ndarray]:
+        ids = gallery["g"].to_numpy()
+
+        def places(column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            lists = b.column(column)
+            row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            g = lists.flatten().to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(ids, g), len(ids) - 1)
+            return row, at, ids[at] == g if len(ids) else np.zeros(len(g), bool)
+
+        out, ok = np.zeros((b.num_rows, len(ids))), np.ones((b.num_rows, len(ids)), bool)
+        row, at, here = places("ids")
+        out[row[here], at[here]] = b.column("grades").flatten().to_numpy(zero_copy_only=False)[here]
+        if exclude_self:
+            ok &= b.column("q").to_numpy()[:, None] != ids
+        if "banned" in b.schema.names:
+            row, at, here = places("banned")
+            ok[row[here], at[here]] = False
+        return out, ok
+
+    return _scored(q, gallery.select("g", "vec"), ks, metric, grades)
+
+
 def mean_metrics(per_query: DataFrame) -> DataFrame:
     names = [c for c in per_query.columns if c not in ("q", "n_positive", "margin")]
     return per_query.agg(F.count(F.lit(1)).alias("n_queries"), *(F.round(F.avg(c), 6).alias(c) for c in names))

@@ -232,9 +232,7 @@ m AS (SELECT q, count(*) AS n_positive, 1.0 / min(rk) AS mrr, avg(j / rk) AS map
 
 
 def _loo(spark, d):
-    e = table(spark, d, "embeddings")
-    v = e.select(F.col("vec_id").alias("g"), F.col("embedding").alias("vec"))
-    return T.query_metrics(T.ranks(v.withColumnRenamed("g", "q"), v, T.label_relevance(e, "vec_id", "label"), exclude_self=True), ks=(10,))
+    return T.label_scores(emb(spark, d), ks=(10,))
 
 
 @query(_LOO + " SELECT count(*) AS n_queries, round(avg(mrr), 6) AS mrr, round(avg(map), 6) AS map, round(avg(precision_10), 6) AS precision_10, round(avg(recall_10), 6) AS recall_10, round(avg(hit_10), 6) AS hit_10, round(avg(ndcg_10), 6) AS ndcg_10 FROM m")
@@ -269,8 +267,7 @@ def graded_retrieval(spark, d):
     q, g = e.where("row_id % 50 = 0"), e.where("row_id % 50 <> 0")
     rel = q.select(F.col("row_id").alias("q"), "label").join(g.select(F.col("row_id").alias("g"), "label"), "label").select("q", "g", (1 + F.col("g") % 3).alias("grade"))
     excl = q.select(F.col("row_id").alias("q"), F.pmod(-F.col("row_id"), F.lit(7)).alias("m")).join(g.select(F.col("row_id").alias("g"), (F.col("row_id") % 7).alias("m")), "m").select("q", "g")
-    r = T.ranks(q.select(F.col("row_id").alias("q"), "vec"), g.select(F.col("row_id").alias("g"), "vec"), rel, excl)
-    m = T.query_metrics(r, ks=(5,))
+    m = T.query_scores(q.select(F.col("row_id").alias("q"), "vec"), g.select(F.col("row_id").alias("g"), "vec"), rel, excl, ks=(5,))
     return m.select("q", "n_positive", *(r6(c) for c in ("mrr", "map", "precision_5", "recall_5", "hit_5", "ndcg_5")))
 
 
@@ -280,8 +277,8 @@ def graded_retrieval_all(spark, d):
     e = emb(spark, d)
     q = e.where("row_id % 50 = 0")
     rel = q.select(F.col("row_id").alias("q"), "label").join(e.select(F.col("row_id").alias("g"), "label"), "label").where("q <> g").select("q", "g", (1 + F.col("g") % 3).alias("grade"))
-    r = T.ranks(q.select(F.col("row_id").alias("q"), "vec"), e.select(F.col("row_id").alias("g"), "vec"), rel, exclude_self=True)
-    return T.query_metrics(r, ks=(5,)).select("q", "n_positive", *(r6(c) for c in ("mrr", "map", "precision_5", "recall_5", "hit_5", "ndcg_5")))
+    r = T.query_scores(q.select(F.col("row_id").alias("q"), "vec"), e.select(F.col("row_id").alias("g"), "vec"), rel, exclude_self=True, ks=(5,))
+    return r.select("q", "n_positive", *(r6(c) for c in ("mrr", "map", "precision_5", "recall_5", "hit_5", "ndcg_5")))
 
 
 # --- zero-shot --------------------------------------------------------------------------------------------
@@ -489,7 +486,7 @@ r AS (SELECT t.fold, s.sxy / (s.sxx + 1) AS w, s.my - s.mx * s.sxy / (s.sxx + 1)
 p AS (SELECT y, w * x + b AS z FROM k JOIN r USING (fold)) SELECT round(avg(abs(y - z)), 4) AS mae, round(sqrt(avg((y - z) * (y - z))), 4) AS rmse, round(sqrt(avg((y - z) * (y - z))) / stddev_pop(y), 6) AS nrmse, round(1 - avg((y - z) * (y - z)) / var_pop(y), 6) AS r2 FROM p""")
 def ridge_probe(spark, d):
     li = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.array("l_quantity").alias("vec"), F.col("l_extendedprice").alias("target"))
-    f = G.folds(li, "row_id", None, 3)
+    f = Scratch(spark).put(G.folds(li, "row_id", None, 3), "folds")
     m = P.regression_metrics(P.ridge_out_of_fold(f, 3))
     return m.select(F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"), "nrmse", "r2")
 

@@ -20,6 +20,36 @@ def test_retrieval_metrics(spark):
     assert T.query_metrics(T.ranks(q, g, huge), ks=(2,)).first()["ndcg_2"] == pytest.approx(1)
     none = T.ranks(q, g, rel, exclusions=rel.select("q", "g"))
     assert none.count() == 0
+    assert T.query_scores(q, g, huge.unionByName(rel.where("q = 1")), ks=(2,)).where("q = 0").first()["ndcg_2"] == pytest.approx(1)
+    excluded = spark.createDataFrame([(1, 2)], "q bigint, g bigint")
+    with pytest.raises(Exception, match="no positive left"):
+        T.query_scores(q, g, rel, excluded, ks=(1,)).collect()
+    for a, b in ((1e-300, 2e-300), (5e307, 1e308), (0.5, 0.7)):
+        # the lower grade is ranked first
+        tiny = spark.createDataFrame([(0, 0, a), (0, 1, b)], "q bigint, g bigint, grade double")
+        for m in (T.query_metrics(T.ranks(q, g, tiny, metric="dot"), ks=(2,)), T.query_scores(q.where("q = 0"), g, tiny, ks=(2,), metric="dot")):
+            assert 0 < m.first()["ndcg_2"] < 1
+
+
+def test_both_ways_give_the_same_metrics(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(9, 4)).round(1), rng.normal(size=(50, 4)).round(1)
+    y[5] = y[6]
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "q bigint, vec array<double>").withColumn("grade", F.lit("clash"))
+    g = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "g bigint, vec array<double>").repartition(3).withColumn("q", F.lit("clash"))
+    rel = spark.createDataFrame([(i, int(j), float(rng.integers(0, 4))) for i in range(9) for j in rng.choice(60, 12, replace=False)] + [(i, 3, 1.0) for i in range(9)], "q bigint, g bigint, grade double").dropDuplicates(["q", "g"])
+    ex = spark.createDataFrame([(i, int(j)) for i in range(9) for j in rng.choice([k for k in range(60) if k != 3], 6)], "q bigint, g bigint").distinct()
+    rounded = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(sorted(df.columns)).collect())
+    for metric in ("cosine", "squared_l2"):
+        near = rounded(T.query_scores(q, g, rel, ex, ks=(1, 5), metric=metric, exclude_self=True))
+        with monkeypatch.context() as m:
+            m.setattr(T, "GALLERY_VALUES", 1)
+            assert rounded(T.query_scores(q, g, rel, ex, ks=(1, 5), metric=metric, exclude_self=True)) == near
+    rows = spark.createDataFrame([(i, "ab"[i % 2], v.tolist()) for i, v in enumerate(y)] + [(99, None, [1.0, 0.0, 0.0, 0.0])], "row_id bigint, label string, vec array<double>")
+    near = rounded(T.label_scores(rows, ks=(3,)))
+    assert len(near) == 50
+    monkeypatch.setattr(T, "GALLERY_VALUES", 1)
+    assert rounded(T.label_scores(rows, ks=(3,))) == near
 
 
 def test_ranks_match_brute_force(spark):
@@ -151,6 +181,11 @@ def test_ridge(spark):
     rows = [(i, v.tolist(), float(v @ [2, -1] + 3), i % 3) for i, v in enumerate(rng.normal(size=(60, 2)))]
     e = spark.createDataFrame(rows, "row_id bigint, vec array<double>, target double, fold int")
     assert P.regression_metrics(P.ridge_out_of_fold(e, 3, alpha=1e-9)).first()["r2"] == pytest.approx(1)
+    two = e.withColumn("target", F.array("target", -F.col("target"))).repartition(7)
+    for r in P.ridge_out_of_fold(two, 3, alpha=1e-9).collect():
+        assert np.allclose(r.predicted, r.target) and np.isclose(r.predicted[0], -r.predicted[1])
+    with pytest.raises(ValueError, match="two folds"):
+        P.ridge_out_of_fold(e.withColumn("fold", F.lit(0)), 1)
 
 
 def test_subsample_and_folds(spark):
