@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -94,11 +95,11 @@ def second_moments(rows: DataFrame, vec: str = "vec") -> tuple[int, np.ndarray,
         if n:
             yield pd.DataFrame({"n": [n], "s": [s], "g": [g.ravel()]})
 
-    rows_ = rows.select(vec).where(F.col(vec).isNotNull()).mapInPandas(part, "n bigint, s array<double>, g array<double>")
-    flat = lambda c: rows_.select(F.posexplode(c).alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")).orderBy("pos").toPandas()["x"].to_numpy()
-    n = rows_.agg(F.sum("n")).first()[0] or 0
-    s, g = flat("s"), flat("g")
-    return n, s, g.reshape(len(s), len(s))
+    parts = rows.select(vec).where(F.col(vec).isNotNull()).mapInPandas(part, "n bigint, s array<double>, g array<double>")
+    flat = parts.select(F.posexplode(F.concat(F.array(F.col("n").cast("double")), "s", "g")).alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")).orderBy("pos")
+    x = np.array([r["x"] for r in flat.collect()])  # 1 + d + d * d numbers
+    d = int((np.sqrt(4 * len(x) - 3) - 1) / 2) if len(x) else 0
+    return (int(x[0]), x[1 : d + 1], x[d + 1 :].reshape(d, d)) if len(x) else (0, np.zeros(0), np.zeros((0, 0)))
 
 
 def pca(rows: DataFrame, n: int | float, whiten: bool = False, center: bool = True, vec: str = "vec", fit_on: DataFrame | None = None) -> DataFrame:
@@ -115,3 +116,83 @@ def pca(rows: DataFrame, n: int | float, whiten: bool = False, center: bool = Tr
     return rows if k >= len(s) and not whiten else _map_vectors(rows, lambda x: (x - mean) @ v, vec)
 
 
+METHODS = ("none", "prefix_truncate", "pca", "incremental_pca", "truncated_svd", "gaussian_random_projection", "sparse_random_projection", "quantize_int8", "quantize_uint8", "quantize_float16")
+
+
+@dataclass(frozen=True)
+class Compression:
+    """What to do with vectors: a method of METHODS, and a number of components (for pca also a share of variance)."""
+
+    method: str = "none"
+    components: int | float | None = None
+    whiten: bool = False
+    seed: int = 42
+
+    def __post_init__(self):
+        if self.method not in METHODS:
+            raise ValueError(f"a compression is one of {METHODS}, not {self.method!r}")
+        if self.needs_size and not self.components:
+            raise ValueError(f"{self.method} needs a number of components")
+
+    @property
+    def needs_size(self) -> bool:
+        return self.method not in ("none", "quantize_int8", "quantize_uint8", "quantize_float16")
+
+    def name(self, extractor: str) -> str:
+        if self.method == "none":
+            return extractor
+        return variant_name(extractor, self.method, self.components) if self.needs_size else f"{extractor}[{self.method}]"
+
+
+def compress(rows: DataFrame, how: Compression, fit_on: DataFrame | None = None, vec: str = "vec") -> tuple[DataFrame, dict]:
+    """(rows with compressed vectors, metadata), fitted on ``fit_on`` (the rows themselves by default).
+
+    As many components as dimensions, or more, leave the vectors as they are, with a warning in the metadata, which holds the
+    dimensions, the ratio of encoded bytes, the explained variance where there is one, and the warnings.
+    """
+    fit = fit_on if fit_on is not None else rows
+    size = fit.where(F.col(vec).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.min(F.size(vec)).alias("low"), F.max(F.size(vec)).alias("d")).first()
+    n, d = size["n"], size["d"] or 0
+    if size["low"] != size["d"]:
+        raise ValueError(f"vectors have lengths from {size['low']} to {size['d']}")
+    meta: dict = {"method": how.method, "input_dim": d, "output_dim": d, "warnings": []}
+    item = {"quantize_int8": 1, "quantize_uint8": 1, "quantize_float16": 2}.get(how.method, 4)
+    out, k = rows, how.components
+    if how.needs_size and isinstance(k, int) and k >= d:
+        meta["warnings"].append(f"{how.method} to {k} of {d} dimensions changes nothing")
+    elif how.method == "prefix_truncate":
+        out = rows.withColumn(vec, F.slice(vec, 1, k))
+    elif how.method in ("pca", "incremental_pca", "truncated_svd"):
+        if isinstance(k, int) and k > n:
+            raise ValueError(f"{k} components need at least as many rows, not {n}")
+        out = pca(rows, k, how.whiten, how.method != "truncated_svd", vec, fit)
+        meta["explained_variance"] = explained_variance(fit, k, how.method != "truncated_svd", vec)
+    elif how.method == "gaussian_random_projection":
+        out = gaussian_projection(rows, d, k, how.seed, vec)
+    elif how.method == "sparse_random_projection":
+        out = sparse_projection(rows, d, k, how.seed, vec)
+    elif how.method in ("quantize_int8", "quantize_uint8"):
+        out = quantize(rows, how.method.removeprefix("quantize_"), fit, vec)
+        meta["calibration"] = {"quantize_int8": "symmetric_absmax", "quantize_uint8": "affine_min_range"}[how.method]
+    elif how.method == "quantize_float16":
+        out = float16(rows, vec)
+    if how.needs_size and not meta["warnings"]:
+        meta["output_dim"] = k if isinstance(k, int) else out.select(F.size(vec)).first()[0]
+    meta["encoded_bytes"] = n * meta["output_dim"] * item
+    meta["ratio"] = (n * d * 4 / meta["encoded_bytes"]) if meta["encoded_bytes"] else None
+    return out, meta
+
+
+def compress_pair(fit_rows: DataFrame, paired: DataFrame, how: Compression, vec: str = "vec") -> tuple[DataFrame, DataFrame, dict]:
+    """Both sides compressed by what is fitted on the first (gallery and queries, samples and prompts)."""
+    left, meta = compress(fit_rows, how, vec=vec)
+    return left, compress(paired, how, fit_rows, vec)[0], meta
+
+
+def explained_variance(rows: DataFrame, n: int | float, center: bool = True, vec: str = "vec") -> float:
+    """The share of variance that the first components hold."""
+    count, s, g = second_moments(rows, vec)
+    mean = s / count if center else np.zeros_like(s)
+    w = np.maximum(np.linalg.eigvalsh(g - count * np.outer(mean, mean))[::-1], 0)
+    share = np.cumsum(w) / w.sum()
+    return float(share[(int(np.searchsorted(share, n)) if isinstance(n, float) else n - 1)])

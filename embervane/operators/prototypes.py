@@ -118,6 +118,27 @@ def auto_k(counts: DataFrame, min_k: int = 10, max_k: int = 50, min_rows: int =
     return counts.withColumn("k", F.least(k, F.lit(max_k), fits, F.col("n")).cast("bigint"))
 
 
+def resolve_k(counts: DataFrame, requested: int | dict | None = None, min_k: int = 10, max_k: int = 50, min_rows: int = 5) -> DataFrame:
+    """(label, n) to (label, n, k) with one number for all, one per class (others as ``auto_k``), or none. A class with
+    fewer than two rows is an error."""
+    small = counts.where("n < 2").limit(5).collect()
+    if small:
+        raise ValueError(f"classes with fewer than two rows: {[r['label'] for r in small]}")
+    if not isinstance(requested, dict):
+        return auto_k(counts, min_k, max_k, min_rows, requested)
+    auto = auto_k(counts, min_k, max_k, min_rows)
+    asked = F.lit(None).cast("bigint")
+    for label, k in requested.items():
+        asked = F.when(F.col("label") == label, F.lit(k)).otherwise(asked)
+    fits = F.greatest(F.lit(1), F.floor(F.col("n") / min_rows))
+    return auto.withColumn("k", F.coalesce(F.least(asked, F.lit(max_k), fits, F.col("n")), F.col("k")).cast("bigint"))
+
+
+def by_label(rows: DataFrame, labels: str) -> DataFrame:
+    """Rows with arrays of labels as one row for each of their distinct labels; rows without a label have none."""
+    return rows.select(*(c for c in rows.columns if c not in ("label", labels)), F.explode(F.array_distinct(F.filter(labels, lambda x: x.isNotNull()))).alias("label"))
+
+
 def exemplars(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """The first k rows of each class in pseudo-random order as its prototypes: (label, proto_id, vec)."""
     return hash_rank(rows, ["label"], "row_id", seed).where(F.col("_rank") <= k).select("label", F.col("row_id").alias("proto_id"), V.unit(F.col("vec")).alias("vec"))

@@ -52,3 +52,32 @@ def coverage(keys: DataFrame, expected: DataFrame) -> DataFrame:
     a = keys.groupBy("artifact").agg(F.count("idx").alias("n_rows"), F.count_distinct("idx").alias("n_distinct"))
     j = expected.join(a, "artifact", "left").fillna(0, ["n_rows", "n_distinct"])
     return j.withColumn("complete", (F.col("n_rows") == F.col("n_expected")) & (F.col("n_distinct") == F.col("n_expected")))
+
+
+def advice(score: float | None, width: float | None = None, weakest: float | None = None, regression: bool = False, interval: tuple[float, float] | None = None) -> str:
+    """The recommendation for one result, as ``recommendation`` gives it for columns; a regression interval that holds 0 is
+    indeterminate."""
+    if score is None:
+        return "no score"
+    if regression:
+        return "indeterminate" if interval and interval[0] <= 0 <= interval[1] else "null-like" if score <= 0 else "above-null"
+    w = width or 0.0
+    out = ["strong" if score >= 0.9 and w <= 0.05 else "promising" if score >= 0.8 else "moderate" if score >= 0.7 else "poor"]
+    out += ["weak class"] if weakest is not None and weakest < 0.7 else []
+    return "; ".join(out + (["unstable"] if w > 0.15 else []))
+
+
+def overall_advice(results: DataFrame, score: str, name: str, tolerance: float = 0.01) -> list[str]:
+    """Sentences on ranked results: the best, those as good, and the smallest of them where there is ``output_dim``."""
+    rows = sorted((r.asDict() for r in results.where(F.col(score).isNotNull()).collect()), key=lambda r: (r["place"], r[name]))  # a row a variant
+    if not rows:
+        return ["No variant has a valid score."]
+    best = rows[0]
+    out = [f"{best[name]} ranks first with {best[score]:.4f}."]
+    near = [r for r in rows[1:] if round(abs(best[score] - r[score]), 9) <= tolerance]
+    if near:
+        out.append("Within tolerance: " + ", ".join(r[name] for r in near) + ".")
+    sized = [r for r in [best, *near] if r.get("output_dim")]
+    if sized and (small := min(sized, key=lambda r: (r["output_dim"], r["place"])))[name] != best[name]:
+        out.append(f"{small[name]} is as good with {small['output_dim']} dimensions.")
+    return out

@@ -78,8 +78,13 @@ def regression_subsample(df: DataFrame, row_id: str, target: str, n_take: int, s
     return anchors.unionByName(fill)
 
 
-def label_view(path: Column, level: int) -> Column:
-    """Key of the path down to a level (negative: from the end); a path that is not so deep is an error."""
+def label_view(path: Column, level: int | str, names: tuple[str, ...] = ()) -> Column:
+    """Key of the path down to a level (a number, negative from the end, or one of ``names``); a path that is not so deep
+    is an error."""
+    if isinstance(level, str):
+        if level not in names:
+            raise ValueError(f"no level {level!r} among {names}")
+        level = names.index(level)
     depth = F.size(path)
     at = F.lit(level) if level >= 0 else depth + level
     key = F.sha2(F.to_json(F.slice(path, F.lit(1), at + 1)), 256)
@@ -101,3 +106,69 @@ def folds(df: DataFrame, row_id: str, label: str | None, k: int, group: str | No
         h = F.conv(F.substring(order_key(F.col(group or row_id), seed=seed), 1, 8), 16, 10).cast("bigint")
         return df.withColumn("fold", (h % k).cast("int"))
     return hash_rank(df, [label], row_id, seed).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
+
+
+def safe_folds(df: DataFrame, row_id: str, label: str, k: int, group: str | None = None, seed: int = 42) -> tuple[int, DataFrame]:
+    """(number of folds, rows with ``fold``): as many folds as asked for, as the smallest class has rows (or groups) at
+    most; fewer than two are an error, as is a training set that lacks a class.
+
+    With groups, whole groups are dealt out by falling size of their rarest class and hash, group by group to the fold
+    that has fewest rows so far; the table of groups and classes is dealt in one task, the rows join it.
+    """
+    unit = F.count_distinct(group) if group else F.count(F.lit(1))
+    least = df.where(F.col(label).isNotNull()).groupBy(label).agg(unit.alias("n")).agg(F.min("n").alias("n")).first()["n"]
+    k = min(k, least or 0)
+    if k < 2:
+        raise ValueError("the smallest class is too small for two folds")
+    if not group:
+        return k, folds(df, row_id, label, k, None, seed)
+    import pandas as pd
+
+    cells = df.groupBy(F.col(group).alias("g"), F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n"))
+
+    def deal(batches):
+        t = pd.concat(list(batches) or [pd.DataFrame({"g": [], "l": [], "n": []})])
+        if not len(t):
+            return
+        wide = t.assign(l=t["l"].astype(str)).pivot_table(index="g", columns="l", values="n", aggfunc="sum", fill_value=0)
+        share = wide / wide.sum()
+        order = share.max(axis=1).rename("s").reset_index().assign(h=lambda o: o["g"].map(lambda g: _digest(g, seed))).sort_values(["s", "h"], ascending=[False, True])["g"]
+        held = pd.DataFrame(0.0, index=range(k), columns=wide.columns)
+        out = []
+        for g in order:
+            cost = ((held + share.loc[g]) ** 2).sum(axis=1) - (held**2).sum(axis=1) + held.sum(axis=1) * 1e-9
+            f = int(cost.idxmin())
+            held.loc[f] += share.loc[g]
+            out.append((g, f))
+        yield pd.DataFrame(out, columns=["g", "fold"])
+
+    dealt = cells.coalesce(1).mapInPandas(deal, f"g {dict(df.dtypes)[group]}, fold int").withColumnRenamed("g", "_dealt")
+    out = df.join(dealt, F.col(group).eqNullSafe(F.col("_dealt"))).drop("_dealt")
+    lacking = out.groupBy(label).agg(F.count_distinct("fold").alias("n")).where(F.col(label).isNotNull() & (F.col("n") < 2)).limit(1).collect()
+    if lacking:
+        raise ValueError(f"class {lacking[0][label]!r} lies in one fold, so that a training set lacks it")
+    return k, out
+
+
+def _digest(value, seed: int) -> str:
+    import hashlib
+
+    return hashlib.md5(f"{seed}|{value}".encode()).hexdigest()
+
+
+def multilabel_subsample(df: DataFrame, row_id: str, labels: str, rate: float, least: int, seed: int = 42) -> DataFrame:
+    """Rows such that every label keeps floor(n * rate) rows, ``least`` at least, as far as there are so many: for each label
+    the first rows in one pseudo-random order that all labels share, so that rows with several labels serve them all."""
+    each = df.select(row_id, F.explode(F.array_distinct(F.filter(labels, lambda x: x.isNotNull()))).alias("_each"))
+    return df.join(stratified_subsample(each, row_id, "_each", rate, least, seed).select(row_id).distinct(), row_id, "left_semi")
+
+
+def validated_rows(ids: DataFrame, row_id: str, rows: DataFrame) -> DataFrame:
+    """ids checked against rows: a null, repeated or unknown id is an error."""
+    n = ids.agg(F.count(F.lit(1)).alias("n"), F.count(row_id).alias("held"), F.count_distinct(row_id).alias("distinct")).first()
+    if n["held"] < n["n"] or n["distinct"] < n["held"]:
+        raise ValueError(f"{n['n'] - n['held']} ids are null and {n['held'] - n['distinct']} are repeated")
+    unknown = ids.join(rows.select(row_id), row_id, "left_anti").limit(3).collect()
+    if unknown:
+        raise ValueError(f"unknown ids, such as {[r[row_id] for r in unknown]}")
+    return ids

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embervane.operators import compaction, drift, nested
-from embervane.session import Scratch
+from embervane.operators import compaction, drift, nested, results
+from embervane.session import Scratch, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +20,14 @@ def p2_files(spark: SparkSession, d: str) -> DataFrame:
     return compaction.write_files(compaction.shard_merge(spark, d), Scratch(spark).path("consolidated"), target_bytes=256 * 1024)
 
 
+def shard_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the shards of every artifact hold each of its samples, and each once."""
+    files = table(spark, d, "embedding_shards").select("file_id", compaction.artifact_key(F.col("output_key")).alias("artifact"), "sample_indices").distinct()
+    keys = files.where("artifact is not null").select("artifact", F.explode("sample_indices").alias("idx")).where("idx >= 0")
+    expected = table(spark, d, "memory_estimates").groupBy(F.col("artifact_key").alias("artifact")).agg(F.max("n_samples").alias("n_expected"))
+    return results.coverage(keys, expected).select("artifact", "n_expected", "n_rows", "n_distinct", "complete")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = nested.report_children(spark, d).where(F.col("kind").isin(*nested.KINDS) & F.col("key").isNotNull())
     return rows.select("report_id", F.col("kind").alias("child_kind"), "parent_key", F.col("key").alias("child_key")).distinct()
@@ -59,6 +67,7 @@ def p6_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "shard_coverage": shard_coverage,
     "p2_found": p2_found, "p2_layout": p2_layout, "p2_files": p2_files,
     "p5_found": p5_found, "p5_levels": p5_levels, "p5_schema": p5_schema, **{f"p5_{k}": _p5_table(k) for k in (*nested.KINDS, "architecture", "probe_folds", "recipe_preprocessing", "report_skipped_diagnostics")},
     "p6_found": p6_found, "p6_schema": p6_schema, "p6_rows": p6_rows,
@@ -129,6 +138,8 @@ SELECT stream_id, file_seq, kind AS change_kind, field, '' AS new_field FROM d W
 UNION ALL SELECT stream_id, file_seq, 'renamed', field, new_field FROM m"""
 
 SQL = {
+    "shard_coverage": _HELD + """, m AS (SELECT artifact_key AS artifact, max(n_samples) AS n_expected FROM memory_estimates GROUP BY 1), n AS (SELECT artifact_key AS artifact, CAST(sum(copies) AS BIGINT) AS n_rows, count(*) AS n_distinct FROM g GROUP BY 1)
+SELECT artifact, n_expected, coalesce(n_rows, 0) AS n_rows, coalesce(n_distinct, 0) AS n_distinct, coalesce(n_rows, 0) = n_expected AND coalesce(n_distinct, 0) = n_expected AS complete FROM m LEFT JOIN n USING (artifact)""",
     "p2_found": _HELD + """,
 e AS (SELECT artifact_key, unnest(range(0, max(n_samples))) AS sample_index FROM memory_estimates GROUP BY artifact_key)
 SELECT artifact_key, sample_index, 'duplicate' AS fault FROM g WHERE copies > 1

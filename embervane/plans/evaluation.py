@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from embervane.functions import vectors as V
-from embervane.operators import compression as C, probe as P, prototypes as O, results as R, retrieval as T, structured as S, targets as G
+from embervane.operators import complexity, compression as C, labels as L, metrics as K, probe as P, prototypes as O, resources, results as R, retrieval as T, structured as S, targets as G
+from embervane.plans import benchmark as B
 from embervane.session import Scratch, table
 from embervane.sources import datasets as D, extractors as X
 from embervane.streaming import monitor as M
@@ -606,12 +607,6 @@ def merged_profiles(spark, d):
     return R.merge_profiles(parts, ("event_type",))
 
 
-@query("WITH e AS (SELECT l_orderkey, max(l_linenumber) AS n_expected, count(*) AS n_rows, count(DISTINCT l_linenumber) AS n_distinct FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey AS artifact, CAST(n_expected AS BIGINT) AS n_expected, n_rows, n_distinct, n_rows = n_expected AND n_distinct = n_expected AS complete FROM e")
-def shard_coverage(spark, d):
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("artifact"), F.col("l_linenumber").alias("idx"))
-    return R.coverage(li, li.groupBy("artifact").agg(F.max("idx").cast("bigint").alias("n_expected")))
-
-
 @query("WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, event_type, event_id, value FROM e WHERE r = 1")
 def history_latest(spark, d):
     return M.latest(table(spark, d, "events"), ("user_id", "event_type"), ("ts", "event_id")).select("user_id", "event_type", "event_id", "value")
@@ -646,3 +641,148 @@ def pooled_tokens(spark, d):
     tokens = F.array(F.slice("vec", 1, 32), F.slice("vec", 33, 32))
     total = lambda c: F.round(F.aggregate(V.doubles(c), F.lit(0.0), lambda s, x: s + x), 6)
     return emb(spark, d).withColumn("t", tokens).select("row_id", total(X.pool(F.col("t"), "mean")).alias("mean_sum"), total(X.pool(F.col("t"), "last")).alias("last_sum"))
+
+
+# --- benchmark runs ---------------------------------------------------------------------------------------
+
+_VARIANTS = f"""WITH {E}, b AS (SELECT 'base' AS variant, row_id, label, vec FROM e UNION ALL SELECT 'base[prefix_truncate_16]', row_id, label, vec[1:16] FROM e UNION ALL SELECT 'base[prefix_truncate_32]', row_id, label, vec[1:32] FROM e),
+u AS (SELECT variant, row_id, label, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec FROM b)"""
+_BENCH = _VARIANTS + """, x AS (SELECT variant, label AS cls, row_id AS p, vec FROM (SELECT *, row_number() OVER (PARTITION BY variant, label ORDER BY md5('42|' || CAST(row_id AS VARCHAR)), row_id) AS r FROM u) WHERE r <= 5),
+s AS (SELECT u.variant, u.row_id, u.label, x.cls, row_number() OVER (PARTITION BY u.variant, u.row_id ORDER BY round(list_sum(list_transform(list_zip(u.vec, x.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 12), x.cls, x.p) AS rk FROM u JOIN x ON u.variant = x.variant),
+t AS (SELECT variant, row_id, label, max(CASE WHEN rk = 1 THEN cls END) AS a, max(CASE WHEN rk = 2 THEN cls END) AS b FROM s GROUP BY ALL),
+c AS (SELECT variant, label, 1 - count(CASE WHEN a <> label THEN a WHEN b <> label THEN b END) / count(*) AS score FROM t GROUP BY ALL),
+o AS (SELECT variant, 'overlap' AS metric, round(avg(score), 6) AS score FROM c GROUP BY variant),
+k AS (SELECT q.variant, q.row_id AS q, q.label = g.label AS rel, row_number() OVER (PARTITION BY q.variant, q.row_id ORDER BY round(list_dot_product(q.vec, g.vec), 10) DESC, g.row_id) AS rk FROM u q JOIN u g ON q.variant = g.variant AND q.row_id <> g.row_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY variant, q ORDER BY rk) AS j FROM k WHERE rel),
+m AS (SELECT variant, q, sum(CASE WHEN rk <= 10 THEN 1 / log2(rk + 1) ELSE 0 END) / sum(CASE WHEN j <= 10 THEN 1 / log2(j + 1) ELSE 0 END) AS ndcg FROM p GROUP BY ALL),
+f AS (SELECT * FROM o UNION ALL SELECT variant, 'label_retrieval', round(avg(ndcg), 6) FROM m GROUP BY variant)
+SELECT variant, metric, score, row_number() OVER (PARTITION BY metric ORDER BY score DESC, variant) AS place FROM f"""
+
+
+@query(_BENCH)
+def benchmark_run(spark, d):
+    """Three compressions by two metrics, ranked by each metric."""
+    data = D.Dataset(emb(spark, d))
+    b = B.Benchmark(data, {"base": None}, (C.Compression(), C.Compression("prefix_truncate", 16), C.Compression("prefix_truncate", 32)), (K.OverlapMetric("exemplar", 5), K.LabelRetrievalMetric(10)))
+    r = b.run().withColumn("score", F.round("score", 6))
+    return R.ranked(r, "score", "variant", ("metric",), ~F.col("higher_is_better")).select("variant", "metric", "score", F.col("place").cast("bigint").alias("place"))
+
+
+@query()
+def benchmark_views(spark, d):
+    """Views, stability, weakest class and advice of one variant; a view of one class is left out."""
+    e = emb(spark, d).withColumn("half", F.when(F.col("label") < 5, "low").otherwise("high")).withColumn("one", F.lit("x"))
+    b = B.Benchmark(D.Dataset(e), {"base": None}, metrics=(K.OverlapMetric("exemplar", 5),), views={"half": "half", "one": "one"}, repeats=3)
+    return b.run().select("view", "variant", "score", "weakest_class", "weakest_score", "stability_width", "advice")
+
+
+@query(_GRADED_ALL + ", v AS (SELECT 'base' AS variant, q, 1.0 / min(rk) AS mrr, avg(j / rk) AS map, sum(CASE WHEN rk <= 5 THEN (pow(2, grade) - 1) / log2(rk + 1) ELSE 0 END) / sum(CASE WHEN i <= 5 THEN (pow(2, grade) - 1) / log2(i + 1) ELSE 0 END) AS ndcg_5 FROM p GROUP BY q) SELECT variant, round(avg(mrr), 6) AS mrr, round(avg(map), 6) AS map, round(avg(ndcg_5), 6) AS score, CAST(1 AS INT) AS place FROM v GROUP BY variant")
+def retrieval_run(spark, d):
+    e = emb(spark, d)
+    q = e.where("row_id % 50 = 0")
+    rel = q.select(F.col("row_id").alias("q"), "label").join(e.select(F.col("row_id").alias("g"), "label"), "label").where("q <> g").select("q", "g", (1 + F.col("g") % 3).cast("double").alias("grade"))
+    data = D.RetrievalDataset(q.select(F.col("row_id").alias("q"), "vec"), e.select(F.col("row_id").alias("g"), "vec"), rel, q.select(F.col("row_id").alias("q"), F.col("row_id").alias("g"))).validate()
+    return B.retrieval_run(data, {"base": (None, None)}, ks=(5,)).select("variant", "mrr", "map", "score", "place")
+
+
+@query(_ZS + _PRF + " SELECT 'base' AS variant, round((SELECT avg(CAST(label = predicted AS INT)) FROM t), 6) AS accuracy, round(avg(recall), 6) AS balanced_accuracy, round(avg(f1), 6) AS macro_f1, CAST(1 AS INT) AS place FROM g")
+def zero_shot_run(spark, d):
+    prompts, samples = _zs_parts(spark, d)
+    data = D.ZeroShotDataset(samples, prompts).validate()
+    return B.zero_shot_run(data, {"base": (None, None)}, overlap=False).select("variant", "accuracy", "balanced_accuracy", "macro_f1", "place")
+
+
+_ML = "e AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS vec, unnest(CASE WHEN embedding[1] > 0 THEN ['c' || label, 'positive'] ELSE ['c' || label] END) AS label FROM embeddings)"
+
+
+def _multi(spark, d):
+    e = emb(spark, d)
+    return e.select("row_id", "vec", F.array_compact(F.array(F.concat(F.lit("c"), F.col("label").cast("string")), F.when(F.get("vec", F.lit(0)) > 0, F.lit("positive")))).alias("labels"))
+
+
+@query(_overlap_sql().replace(E, _ML).replace("PARTITION BY u.row_id ORDER", "PARTITION BY u.row_id, u.label ORDER") + " SELECT label, n, round(score, 6) AS score FROM c")
+def overlap_multilabel(spark, d):
+    rows = O.by_label(_multi(spark, d), "labels")
+    return O.overlap_per_class(O.overlap_events(rows, O.exemplars(rows, 5))).select("label", "n", r6("score"))
+
+
+@query()
+def multilabel_probe(spark, d):
+    f = Scratch(spark).put(G.folds(_multi(spark, d).select("row_id", "vec", F.filter("labels", lambda x: x.isin("positive", "c1")).alias("labels")), "row_id", None, 3), "folds")
+    return P.multilabel_metrics(P.multilabel_out_of_fold(f, "labels", 3, max_iter=30))
+
+
+@query("""WITH p AS (SELECT o_orderkey, o_custkey % 40 AS g, o_orderpriority AS l FROM orders), n AS (SELECT l, count(DISTINCT g) AS n FROM p GROUP BY l) SELECT least(5, min(n)) AS n_folds, CAST(0 AS BIGINT) AS n_split_groups, (SELECT count(*) FROM p) AS n_rows FROM n""")
+def probe_stratified_group_folds(spark, d):
+    """Whole groups in one fold, every class in several: the number of folds, of groups in several folds, and of rows."""
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 40).alias("g"), "o_orderpriority")
+    _, f = G.safe_folds(o, "o_orderkey", "o_orderpriority", 5, "g")
+    f = Scratch(spark).put(f, "folds")
+    split = f.groupBy("g").agg(F.count_distinct("fold").alias("n")).agg(F.sum((F.col("n") > 1).cast("bigint")).alias("n_split_groups"))
+    return f.agg(F.count_distinct("fold").alias("n_folds"), F.count(F.lit(1)).alias("n_rows")).join(F.broadcast(split))
+
+
+@query(f"""WITH f AS (SELECT l_quantity AS x, l_extendedprice AS y1, l_discount AS y2, l_orderkey * 10 + l_linenumber AS id FROM lineitem), k AS (SELECT *, CAST('0x' || substr({MD5.format('id')}, 1, 8) AS BIGINT) % 3 AS fold FROM f),
+r AS (SELECT t.fold, s.* FROM (SELECT unnest([0, 1, 2]) AS fold) t, LATERAL (SELECT covar_pop(y1, x) / (var_pop(x) + 1.0 / count(*)) AS w1, covar_pop(y2, x) / (var_pop(x) + 1.0 / count(*)) AS w2, avg(y1) AS m1, avg(y2) AS m2, avg(x) AS mx FROM k WHERE k.fold <> t.fold) s),
+p AS (SELECT y1, y2, w1 * (x - mx) + m1 AS z1, w2 * (x - mx) + m2 AS z2 FROM k JOIN r USING (fold)), a AS (SELECT avg((y1 - z1) ** 2) AS e1, avg((y2 - z2) ** 2) AS e2, var_pop(y1) AS v1, var_pop(y2) AS v2, avg(abs(y1 - z1)) AS a1, avg(abs(y2 - z2)) AS a2 FROM p)
+SELECT round((a1 + a2) / 2, 3) AS mae, round((sqrt(e1 / v1) + sqrt(e2 / v2)) / 2, 5) AS nrmse, round(1 - (e1 + e2) / (v1 + v2), 5) AS r2, round(((1 - e1 / v1) + (1 - e2 / v2)) / 2, 5) AS r2_uniform FROM a""")
+def ridge_probe_two_targets(spark, d):
+    li = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.array("l_quantity").alias("vec"), F.array("l_extendedprice", "l_discount").alias("target"))
+    f = Scratch(spark).put(G.folds(li, "row_id", None, 3), "folds")
+    m = P.target_metrics(P.ridge_out_of_fold(f, 3))
+    return m.select(F.round("mae", 3).alias("mae"), F.round("nrmse", 5).alias("nrmse"), F.round("r2", 5).alias("r2"), F.round("r2_uniform", 5).alias("r2_uniform"))
+
+
+@query()
+def complexity_ladder(spark, d):
+    """The ladder on the two commonest classes, run whatever the overlap."""
+    e = emb(spark, d).where("label < 2")
+    return complexity.diagnose(e, 1.0, probes=("dummy", "linear", "smooth_poly", "knn"))[1]
+
+
+@query("SELECT round(avg(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))), 6) AS score FROM embeddings")
+def custom_metric(spark, d):
+    m = K.CallableMetric(lambda rows: rows.agg(F.avg(V.norm(F.col("vec"))).alias("score")), "mean_norm").score(emb(spark, d))
+    return spark.createDataFrame([(round(m.score, 6),)], "score double")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY 'string:' || lang) - 1 AS INT) AS position, 'string:' || lang AS label_key, 'string' AS label_type, lang AS display, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def label_catalog(spark, d):
+    return L.catalog(table(spark, d, "documents"), "lang").select(F.col("position").cast("int").alias("position"), "label_key", "label_type", "display", "n")
+
+
+@query("SELECT target, count(*) AS n FROM (SELECT array_to_string(list_sort(list_filter([CASE WHEN bool_or(event_type = 'click') THEN 'click' END, CASE WHEN bool_or(event_type = 'purchase') THEN 'purchase' END], lambda x: x IS NOT NULL)), '|') AS target FROM events GROUP BY user_id) GROUP BY target")
+def normalized_targets(spark, d):
+    u = table(spark, d, "events").groupBy("user_id").agg(*(F.max((F.col("event_type") == t).cast("int")).alias(t) for t in ("click", "purchase")))
+    rows, _ = L.normalize_targets(u, ["click", "purchase"])
+    return rows.groupBy(F.array_join("target", "|").alias("target")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH m AS (SELECT DISTINCT artifact_key, n_samples, embedding_dim, dtype FROM memory_estimates), b AS (SELECT artifact_key, n_samples * embedding_dim * CASE lower(dtype) WHEN 'float16' THEN 2 WHEN 'half' THEN 2 WHEN 'float64' THEN 8 WHEN 'double' THEN 8 WHEN 'int8' THEN 1 WHEN 'uint8' THEN 1 ELSE 4 END AS bytes FROM m)
+SELECT artifact_key, bytes, bytes <= 1000000 AS fits, round(least(1, 1000000.0 / nullif(bytes, 0)), 6) AS rate, CAST(greatest(1, ceil(bytes / 1000000)) AS BIGINT) AS n_shards FROM b""")
+def memory_plan(spark, d):
+    m = table(spark, d, "memory_estimates").select("artifact_key", "n_samples", "embedding_dim", "dtype").distinct()
+    return resources.memory_plan(m, 1_000_000).select("artifact_key", "bytes", "fits", "rate", "n_shards")
+
+
+@query(_CELLS + ", n AS (SELECT img, r // 3 AS i, c // 3 AS j, label, instance, count(*) AS n FROM px WHERE instance <> 0 AND label IN (1, 2) GROUP BY ALL), m AS (SELECT img, i, j, label, arg_max(instance, (n, -instance)) AS instance FROM n GROUP BY ALL) SELECT t.img, t.i, t.j, t.label, m.instance, t.label = 0 AS background, round(e.vec[t.i * 4 + t.j + 1], 6) AS feature FROM t JOIN (SELECT row_id, vec FROM e) e ON e.row_id = t.img LEFT JOIN m USING (img, i, j, label) WHERE t.label <> 3 AND t.share >= 0.7 AND t.share - t.second >= 0.2")
+def segmentation_tokens(spark, d):
+    """Masks to labelled tokens with the features of their cells: class 3 ignored, 0 the background, 1 and 2 things."""
+    e = emb(spark, d).select(F.col("row_id").alias("img"), F.posexplode(F.slice("vec", 1, 16)).alias("at", "x"))
+    features = e.select("img", F.floor(F.col("at") / 4).cast("int").alias("i"), (F.col("at") % 4).cast("int").alias("j"), F.array("x").alias("vec"))
+    t = S.segment_tokens(_pixels(spark, d), features, 12, 12, 4, 4, ignored=(3,), background=(0,), things=(1, 2))
+    return t.select("img", "i", "j", "label", "instance", "background", F.round(F.col("vec")[0].cast("double"), 6).alias("feature"))
+
+
+SQL["segmentation_tokens"] = SQL["segmentation_tokens"].replace("WITH px", f"WITH {E}, px", 1)
+
+
+@query("""WITH a AS (SELECT DISTINCT parent_id, labels FROM unit_annotations WHERE labels IS NOT NULL), u AS (SELECT parent_id AS "group", CAST(unnest(range(0, len(labels))) AS INT) AS position, unnest(labels) AS label FROM a)
+SELECT sha256("group" || '|slot-' || CAST(position AS VARCHAR)) AS row_id, "group", position, label, CAST(position AS DOUBLE) AS feature FROM u""")
+def structured_outputs(spark, d):
+    """Latent slots of each parent with one vector a slot, as labelled unit rows."""
+    a = table(spark, d, "unit_annotations").select("parent_id", "labels").where("labels is not null").distinct()
+    units = S.slot_units(a, "parent_id", "labels")
+    vectors = a.select(F.col("parent_id").alias("parent"), F.transform("labels", lambda x, i: F.array(i.cast("double"))).alias("vecs"))
+    rows = S.materialize(units, {"slots": vectors})["slots"]
+    return rows.select("row_id", "group", "position", "label", F.col("vec")[0].alias("feature"))
