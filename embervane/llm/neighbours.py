@@ -19,7 +19,7 @@ from embervane.llm.graph import PrunedGraph
 from embervane.session import Scratch, empty, table
 
 #: Vectors a shard should hold.
-SHARD_ROWS = 4_000
+SHARD_ROWS = 2_500
 #: Centroids of one level, and of both (these are sent to every task: 64 MB at 64 values; beyond, shards grow).
 ONE_LEVEL, MAX_CENTROIDS = 512, 262_144
 #: Vectors of the sample that centroids are fitted on (the only sample taken): so many a centroid, so many at least.
@@ -258,7 +258,7 @@ def _search(k: int, beam: int, least: float, degree: int, t: pa.Table) -> pa.Tab
         return none
     # equal vectors stand in the graph once
     _, lead, at = np.unique(np.ascontiguousarray(own_x).view([("v", np.void, own_x.shape[1] * 4)]).ravel(), return_index=True, return_inverse=True)
-    graph = PrunedGraph(own_x[lead], degree=degree, beam=2 * degree if degree > 12 else degree + 4, alpha=1.1)
+    graph = PrunedGraph(own_x[lead], degree=degree, beam=2 * degree, alpha=1.1)
     copies = np.argsort(at, kind="stable")
     from_ = np.searchsorted(at[copies], np.arange(len(lead) + 1))
     q_own, out = query[member], []
