@@ -334,7 +334,11 @@ def zero_shot_worst_samples(spark, d):
     return _zs(spark, d).select("row_id", "label", "predicted", r6("margin")).orderBy("margin", "row_id").limit(10)
 
 
-@query()
+def _per_template(t: int) -> str:
+    return f"SELECT {t} AS template, * FROM ({_ZS.replace('WHERE r <= 5', f'WHERE r <= 5 AND r % 2 = {t}')}{_PRF} SELECT round((SELECT avg(CAST(label = predicted AS INT)) FROM t), 6) AS accuracy, round(avg(recall), 6) AS balanced_accuracy, round(avg(f1), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM g)"
+
+
+@query(f"SELECT CAST(template AS BIGINT) AS template, accuracy, balanced_accuracy, macro_f1, weighted_f1 FROM ({_per_template(0)} UNION ALL {_per_template(1)})")
 def zero_shot_per_template(spark, d):
     prompts, samples = _zs_parts(spark, d)
     protos = O.class_prototypes(prompts.withColumn("template", F.col("r") % 2), ("template", "label"))
@@ -394,7 +398,11 @@ def _repeat_scores(spark, d, n=4):
     return out
 
 
-@query()
+_REPEATS = " UNION ALL ".join(f"SELECT {seed} AS seed, label, score FROM ({_overlap_sql(seed, 3)} SELECT label, score FROM c)" for seed in range(4))
+
+
+@query(f"""WITH r AS ({_REPEATS}), a AS (SELECT label, count(*) AS n, avg(score) AS mean, stddev_samp(score) AS std, min(score) AS low, max(score) AS high, quantile_cont(score, 0.025) AS q1, quantile_cont(score, 0.975) AS q2 FROM r GROUP BY label)
+SELECT label, n, round(mean, 6) AS mean, round(std, 6) AS std, round(low, 6) AS low, round(high, 6) AS high, round(q1, 6) AS "from", round(q2, 6) AS upto, round(q2 - q1, 6) AS width FROM a""")
 def overlap_stability(spark, d):
     return O.stability(_repeat_scores(spark, d), keys=("label",))
 
@@ -405,7 +413,13 @@ def overlap_kmeans(spark, d):
     return O.overlap_per_class(O.overlap_events(e, O.kmeans_prototypes(e, O.auto_k(G.class_counts(e, "label")))))
 
 
-@query()
+def _fold_sql(f: int) -> str:
+    fold = f"(row_number() OVER (PARTITION BY label ORDER BY {MD5.format('row_id')}, row_id) - 1) % 3"
+    sql = _overlap_sql().replace(", x AS (", f", w AS (SELECT *, {fold} AS fold FROM u), x AS (", 1).replace("AS r FROM u) WHERE", f"AS r FROM w WHERE fold <> {f}) WHERE", 1).replace("FROM u, x)", f"FROM w u, x WHERE u.fold = {f})", 1)
+    return f"SELECT label, score FROM ({sql} SELECT label, score FROM c)"
+
+
+@query("SELECT label, round(avg(score), 6) AS score FROM (" + " UNION ALL ".join(_fold_sql(f) for f in range(3)) + ") GROUP BY label")
 def overlap_cross_fitted(spark, d):
     e = G.folds(emb(spark, d), "row_id", "label", 3)
     out = None
@@ -415,7 +429,9 @@ def overlap_cross_fitted(spark, d):
     return out.groupBy("label").agg(F.round(F.avg("score"), 6).alias("score"))
 
 
-@query()
+@query(f"""WITH {E}, {U}, m AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(vec) AS x, unnest(range(1, len(vec) + 1)) AS pos FROM u) GROUP BY ALL), p AS (SELECT label AS cls, list(x ORDER BY pos) AS vec FROM m GROUP BY label),
+s AS (SELECT u.row_id, u.label, p.cls, row_number() OVER (PARTITION BY u.row_id ORDER BY round(list_sum(list_transform(list_zip(u.vec, p.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 12), p.cls) AS rk FROM u, p)
+SELECT label, count(*) AS n, round(1 - sum(CAST(cls <> label AS INT)) / count(*), 6) AS score FROM s WHERE rk = 1 GROUP BY label""")
 def overlap_centroid(spark, d):
     e = emb(spark, d)
     return O.overlap_per_class(O.overlap_events(e, Scratch(spark).put(O.centroids(e), "prototypes"))).select("label", "n", r6("score"))
