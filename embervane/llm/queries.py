@@ -144,6 +144,11 @@ SELECT r.result_id, t.label FROM r JOIN t USING (dataset_key) LEFT JOIN s ON s.d
 WHERE greatest((r.n * t.target_percent + 99) // 100, t.min_samples) > coalesce(s.n, 0)""",
     "p1_plan": _PLANS + " SELECT result_id, label, demand, supply, round(expected + 1e-7, 4) AS expected, greatest(demand - supply, 0) AS unreachable FROM e",
     "p1_totals": _PLANS + " SELECT result_id, CAST(want AS BIGINT) AS n_drawn, CAST(want AS BIGINT) AS n_expected, true AS within_one FROM w",
+    # brute force over all pairs of an output
+    "p3_found": """WITH v AS (SELECT DISTINCT token_id, output_name, CAST(embeddings AS DOUBLE[]) AS x FROM spatial_tokens JOIN (SELECT DISTINCT output_name, embedding_dim FROM spatial_outputs) USING (output_name)
+  WHERE token_id IS NOT NULL AND len(embeddings) = embedding_dim AND len(list_filter(embeddings, lambda y: y IS NOT NULL AND isfinite(y))) = embedding_dim),
+u AS (SELECT token_id, output_name, list_transform(x, lambda y: y / sqrt(list_dot_product(x, x))) AS x FROM v WHERE list_dot_product(x, x) > 0)
+SELECT a.token_id AS token_id_a, b.token_id AS token_id_b FROM u a JOIN u b ON a.output_name = b.output_name AND a.token_id < b.token_id WHERE list_dot_product(a.x, b.x) >= 0.95""",
     "p4_found": _SETS + " SELECT component AS sample_id_a, sample_id AS sample_id_b FROM q WHERE component <> sample_id",
     "p4_splits": _SPLIT + " SELECT sample_id, q.dataset_key, q.component, split_name FROM q JOIN y USING (dataset_key, component)",
     "p4_groups": _SETS + ", n AS (SELECT dataset_key, count(DISTINCT component) AS n_groups FROM q GROUP BY ALL) SELECT result_id, dataset_key, probe_n_groups, n_groups FROM (SELECT DISTINCT result_id, dataset_key, probe_n_groups FROM results WHERE probe_grouped) LEFT JOIN n USING (dataset_key)",
@@ -158,4 +163,11 @@ iw AS (SELECT item_id, {_WORDS} AS w FROM own), dw AS (SELECT doc_id, {_WORDS} A
 i12 AS (SELECT DISTINCT item_id, array_to_string(w[k + 1:k + 12], ' ') AS p FROM (SELECT item_id, w, unnest(range(len(w) - 11)) AS k FROM iw)),
 d12 AS (SELECT DISTINCT doc_id, array_to_string(w[k + 1:k + 12], ' ') AS p FROM (SELECT doc_id, w, unnest(range(len(w) - 11)) AS k FROM dw))
 SELECT DISTINCT doc_id, item_id FROM d12 JOIN i12 USING (p)""",
+    "p7_items": f"""WITH {_OWN}
+iw AS (SELECT item_id, {_WORDS} AS w FROM own), dw AS (SELECT doc_id, {_WORDS} AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+i12 AS (SELECT item_id, n, k, array_to_string(w[k + 1:k + 12], ' ') AS p FROM (SELECT item_id, w, len(w) AS n, unnest(range(len(w) - 11)) AS k FROM iw)),
+d12 AS (SELECT DISTINCT doc_id, array_to_string(w[k + 1:k + 12], ' ') AS p FROM (SELECT doc_id, w, unnest(range(len(w) - 11)) AS k FROM dw)),
+m AS (SELECT doc_id, item_id, n, unnest(range(k, k + 12)) AS word FROM d12 JOIN i12 USING (p)), c AS (SELECT doc_id, item_id, count(DISTINCT word) / max(n) AS share FROM m GROUP BY ALL),
+g AS (SELECT item_id, count(*) AS n_docs, max(round(share, 6)) AS largest_share FROM c GROUP BY item_id)
+SELECT item_id, task, coalesce(n_docs, 0) AS n_docs, coalesce(largest_share, 0) AS largest_share FROM (SELECT DISTINCT item_id, task FROM benchmark) LEFT JOIN g USING (item_id)""",
 }
