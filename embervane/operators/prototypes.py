@@ -33,10 +33,11 @@ def class_prototypes(prompts: DataFrame, keys: tuple[str, ...] = ("label",)) ->
 
 def _held(prototypes: DataFrame, keys: list[str]) -> tuple[list[tuple], np.ndarray]:
     """The keys and the matrix of prototypes, in order; their size is checked before they come to the driver."""
-    n = prototypes.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("n")).first()["n"]
+    own = Scratch(prototypes.sparkSession).put(prototypes.select(*keys, V.doubles(F.col("vec")).alias("vec")), "prototypes")
+    n = own.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("n")).first()["n"]
     if n > MAX_VALUES:
         raise ValueError(f"{n} prototype values are more than the {MAX_VALUES} that are sent to every task")
-    rows = prototypes.select(*keys, V.doubles(F.col("vec")).alias("vec")).orderBy(*keys).collect()
+    rows = own.orderBy(*keys).collect()
     return [tuple(r[k] for k in keys) for r in rows], np.array([r["vec"] for r in rows], float).reshape(len(rows), -1)
 
 

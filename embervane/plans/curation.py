@@ -28,6 +28,15 @@ def shard_coverage(spark: SparkSession, d: str) -> DataFrame:
     return results.coverage(keys, expected).select("artifact", "n_expected", "n_rows", "n_distinct", "complete")
 
 
+def recommendations(spark: SparkSession, d: str) -> DataFrame:
+    """Advice on every result, with the weakest class of its reports."""
+    classes = nested.report_children(spark, d).where(F.col("kind") == "class").select("report_id", F.expr("try_variant_get(value, '$.f1', 'double')").alias("f1"))
+    of = table(spark, d, "score_reports").select("report_id", "result_id").distinct()
+    weakest = classes.join(of, "report_id").groupBy("result_id").agg(F.min("f1").alias("weakest"))
+    r = table(spark, d, "results").select("result_id", "primary_score", "target_type").distinct().join(weakest, "result_id", "left")
+    return r.select("result_id", results.recommendation(F.col("primary_score"), weakest=F.col("weakest"), regression=F.coalesce(F.col("target_type") == "regression", F.lit(False))).alias("advice"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = nested.report_children(spark, d).where(F.col("kind").isin(*nested.KINDS) & F.col("key").isNotNull())
     return rows.select("report_id", F.col("kind").alias("child_kind"), "parent_key", F.col("key").alias("child_key")).distinct()
@@ -67,7 +76,7 @@ def p6_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "shard_coverage": shard_coverage,
+    "shard_coverage": shard_coverage, "recommendations": recommendations,
     "p2_found": p2_found, "p2_layout": p2_layout, "p2_files": p2_files,
     "p5_found": p5_found, "p5_levels": p5_levels, "p5_schema": p5_schema, **{f"p5_{k}": _p5_table(k) for k in (*nested.KINDS, "architecture", "probe_folds", "recipe_preprocessing", "report_skipped_diagnostics")},
     "p6_found": p6_found, "p6_schema": p6_schema, "p6_rows": p6_rows,
@@ -156,6 +165,10 @@ w AS (SELECT artifact_key, max(embedding_dim * CASE WHEN dtype = 'float16' THEN
 n AS (SELECT g.*, (row_number() OVER (PARTITION BY g.artifact_key ORDER BY sample_index) - 1) // greatest(1, 262144 // coalesce(w.width, 4)) AS file_no FROM g LEFT JOIN w USING (artifact_key))
 SELECT artifact_key, CAST(file_no AS BIGINT) AS file_no, min(sample_index) AS first_index, max(sample_index) AS last_index, count(*) AS n_records, true AS distinct, CAST(1 AS BIGINT) AS n_files FROM n GROUP BY ALL""",
     "p5_found": _P5,
+    "recommendations": _P5.split(",\nc AS (")[0] + """, w AS (SELECT result_id, min(CAST(e ->> '$.f1' AS DOUBLE)) AS weakest FROM cl JOIN (SELECT DISTINCT report_id, result_id FROM score_reports) USING (report_id) GROUP BY result_id),
+r AS (SELECT DISTINCT result_id, primary_score, target_type FROM results)
+SELECT result_id, CASE WHEN primary_score IS NULL THEN '' WHEN target_type = 'regression' THEN CASE WHEN primary_score <= 0 THEN 'null-like' ELSE 'above-null' END WHEN primary_score >= 0.9 THEN 'strong' WHEN primary_score >= 0.8 THEN 'promising' WHEN primary_score >= 0.7 THEN 'moderate' ELSE 'poor' END
+  || CASE WHEN weakest < 0.7 THEN CASE WHEN primary_score IS NULL THEN '' ELSE '; ' END || 'weak class' ELSE '' END AS advice FROM r LEFT JOIN w USING (result_id)""",
     "p6_found": _P6,
     "p6_schema": _P6.split(",\nf AS")[0] + """, z AS (SELECT field, list_sort(list_distinct(flatten(list(types)))) AS types, count(*) AS n_files, min(file_seq) AS first_seq, max(file_seq) AS last_seq FROM t GROUP BY field)
 SELECT field, array_to_string(types, ', ') AS types, n_files, first_seq, last_seq, CASE len(types) WHEN 0 THEN 'string' WHEN 1 THEN types[1] ELSE CASE WHEN len(list_filter(types, lambda y: y NOT IN ('integer', 'number'))) = 0 THEN 'number' ELSE 'string' END END AS canonical FROM z""",

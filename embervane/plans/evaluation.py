@@ -292,7 +292,7 @@ t AS (SELECT row_id, label, max(CASE WHEN rk = 1 THEN cls END) AS predicted, max
 
 
 def _zs_parts(spark, d):
-    e = G.hash_rank(emb(spark, d), ["label"], "row_id", name="r")
+    e = Scratch(spark).put(G.hash_rank(emb(spark, d), ["label"], "row_id", name="r"), "ranked")
     return e.where("r <= 5"), e.where("r > 5")
 
 
@@ -434,12 +434,12 @@ s AS (SELECT u.row_id, u.label, p.cls, row_number() OVER (PARTITION BY u.row_id
 SELECT label, count(*) AS n, round(1 - sum(CAST(cls <> label AS INT)) / count(*), 6) AS score FROM s WHERE rk = 1 GROUP BY label""")
 def overlap_centroid(spark, d):
     e = emb(spark, d)
-    return O.overlap_per_class(O.overlap_events(e, Scratch(spark).put(O.centroids(e), "prototypes"))).select("label", "n", r6("score"))
+    return O.overlap_per_class(O.overlap_events(e, O.centroids(e))).select("label", "n", r6("score"))
 
 
 def _fitted(spark, rows, on, seed=42):
     """Events of ``rows`` among prototypes fitted on all rows of ``on``."""
-    return O.overlap_events(rows, Scratch(spark).put(O.kmeans_prototypes(on, O.auto_k(G.class_counts(on, "label")), seed=seed), "prototypes"))
+    return O.overlap_events(rows, O.kmeans_prototypes(on, O.auto_k(G.class_counts(on, "label")), seed=seed))
 
 
 @query()
@@ -602,11 +602,6 @@ def quality_cohort(spark, d):
     return R.cohort(results(spark, d), "overlap_macro", ("dataset_key",)).select("result_id", "dataset_key", "overlap_macro")
 
 
-@query(f"WITH {_RES} SELECT result_id, CASE WHEN target_type = 'regression' THEN CASE WHEN primary_score IS NULL THEN '' WHEN primary_score <= 0 THEN 'null-like' ELSE 'above-null' END WHEN primary_score IS NULL THEN '' WHEN primary_score >= 0.9 THEN 'strong' WHEN primary_score >= 0.8 THEN 'promising' WHEN primary_score >= 0.7 THEN 'moderate' ELSE 'poor' END || CASE WHEN overlap_macro < 0.7 THEN CASE WHEN primary_score IS NULL THEN '' ELSE '; ' END || 'weak class' ELSE '' END AS advice FROM r")
-def recommendations(spark, d):
-    return results(spark, d).select("result_id", R.recommendation(F.col("primary_score"), weakest=F.col("overlap_macro"), regression=F.coalesce(F.col("target_type") == "regression", F.lit(False))).alias("advice"))
-
-
 @query("SELECT event_type, count(value) AS n, round(median(value), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS largest, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def latency_profile(spark, d):
     return R.latency_profile(table(spark, d, "events"), "value", ("event_type",))
