@@ -24,8 +24,10 @@ SHARD_ROWS = 2_500
 ONE_LEVEL, MAX_CENTROIDS = 512, 262_144
 #: Vectors of the sample that centroids are fitted on (the only sample taken): so many a centroid, so many at least.
 SAMPLE_PER_CENTROID, SAMPLE_ROWS = 64, 8_192
+#: Partitions of the routed vectors; beyond, a task has several shards, one after the other.
+MAX_PARTITIONS = 50_000
 #: Shards a search for the k nearest visits.
-PROBES = 8
+PROBES = 16
 #: Groups of more equal vectors are given as links to their lowest id, and not as all pairs.
 EXPAND_COPIES = 32
 
@@ -79,8 +81,7 @@ class Cells:
 
     def __post_init__(self):
         self.first = np.concatenate([[0], np.cumsum([len(k) for k in self.kids])]).astype(np.int64)
-        self.gap = _gaps(self.tops)
-        self.kid_gaps = [_gaps(k) for k in self.kids]
+        self.gap = _gaps(self.tops, self.tops)
 
     def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(top, shard, similarities to the tops) of every row."""
@@ -112,7 +113,8 @@ class Cells:
             t = x[r] @ own.T
             best = t.argmax(1)
             much = np.where(top[r] == j, chord / 2, chord)[:, None]
-            a, b = np.nonzero(np.take_along_axis(t, best[:, None], 1) - t <= much * self.kid_gaps[j][best] + 1e-6)
+            used, at = np.unique(best, return_inverse=True)
+            a, b = np.nonzero(np.take_along_axis(t, best[:, None], 1) - t <= much * _gaps(own[used], own)[at] + 1e-6)
             rows.append(r[a])
             shards.append(self.first[j] + b)
         return np.concatenate(rows), np.concatenate(shards)
@@ -135,8 +137,8 @@ class Cells:
         return row, found[found >= 0]
 
 
-def _gaps(c: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, (c * c).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * c @ c.T)).astype(np.float32)
+def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T)).astype(np.float32)
 
 
 def _centroids(t: pa.Table, k: int) -> np.ndarray:
@@ -317,7 +319,7 @@ def _hits(vectors: DataFrame, copies: DataFrame, sizes: dict[str, int], k: int,
     shards = fit_shards(vectors, sizes, **how)
     n = sum(int(c.first[-1]) for c in shards.values())
     # a few partitions a shard, so that large shards rarely meet in one task
-    routed = route(searched, shards, every, probes, least).repartition(max(1, 3 * n), "output_name", "shard")
+    routed = route(searched, shards, every, probes, least).repartition(min(max(1, 3 * n), MAX_PARTITIONS), "output_name", "shard")
     return routed.groupBy("output_name", "shard").applyInArrow(lambda key, t: _search(k, beam, least, degree, t), HITS)
 
 
