@@ -52,15 +52,19 @@ def _number(text: str):
     raise ValueError(text)
 
 
-def _paths(payload: str, rules: dict[tuple, Child], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The distinct (payload, path, type) of a partition. ``[]`` stands for the entries of an array, of a map of entries, or
+def _paths(rules_of: dict[str, dict[tuple, Child]], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct (payload, path, type) of a partition with a column for each payload. ``[]`` stands for the entries of an array, of a map of entries, or
     of a single object where a list is usual."""
     read = lambda t: json.loads(t, object_pairs_hook=_unique, parse_constant=_number)
-    seen: set[tuple] = set()
+    held: dict[str, set[tuple]] = {p: set() for p in rules_of}
+    seen, rules = set(), {}
+    plain = {bool: "boolean", int: "integer", float: "number", type(None): "null"}
 
     def walk(v, path: tuple) -> None:
         for _ in range(2):
             if isinstance(v, str):
+                if not v.lstrip()[:1] in ("{", "[", '"'):  # nothing that holds entries
+                    break
                 try:
                     v = read(v)
                 except (ValueError, RecursionError):
@@ -79,21 +83,27 @@ def _paths(payload: str, rules: dict[tuple, Child], batches: Iterator[pd.DataFra
                 return
             seen.add((path, "object"))
             for k, x in v.items():
-                walk(x, (*path, k))
+                kind = plain.get(type(x))
+                if kind:
+                    seen.add(((*path, k), kind))
+                else:
+                    walk(x, (*path, k))
         else:
-            seen.add((path, {bool: "boolean", int: "integer", float: "number", str: "string"}.get(type(v), "null")))
+            seen.add((path, plain.get(type(v), "string" if isinstance(v, str) else "null")))
         if len(seen) > MAX_PATHS:
             raise ValueError(f"more than {MAX_PATHS} paths, such as {path}: a map needs a naming rule")
 
     for batch in batches:
-        for text in batch[payload]:
-            if text:
-                try:
-                    v = read(text)
-                except (ValueError, RecursionError):
-                    continue
-                walk(v, ())
-    yield pd.DataFrame([(payload, list(p), t) for p, t in sorted(seen)], columns=["payload", "path", "type"])
+        for payload in rules_of:
+            seen, rules = held[payload], rules_of[payload]
+            for text in batch[payload]:
+                if text:
+                    try:
+                        v = read(text)
+                    except (ValueError, RecursionError):
+                        continue
+                    walk(v, ())
+    yield pd.DataFrame([(payload, list(p), t) for payload, own in held.items() for p, t in sorted(own)], columns=["payload", "path", "type"])
 
 
 def _rule_paths(payload: str, rules: tuple[Child, ...]) -> dict[tuple, Child]:
@@ -113,11 +123,8 @@ def _rule_paths(payload: str, rules: tuple[Child, ...]) -> dict[tuple, Child]:
 
 def inferred_schema(df: DataFrame, payloads: dict[str, str], rules: tuple[Child, ...]) -> DataFrame:
     """(payload, path, types): the schema merged over all payloads, alternatives kept. Damaged payloads add nothing."""
-    out = None
-    for name, column in payloads.items():
-        at = _rule_paths(name, rules)
-        part = df.select(F.col(column).alias(name)).where(F.col(name).isNotNull()).mapInPandas(lambda it, name=name, at=at: _paths(name, at, it), LEVELS)
-        out = part if out is None else out.unionByName(part)
+    at = {name: _rule_paths(name, rules) for name in payloads}
+    out = df.select(*(F.col(c).alias(name) for name, c in payloads.items())).mapInPandas(lambda it: _paths(at, it), LEVELS)
     return out.groupBy("payload", "path").agg(F.array_sort(F.collect_set("type")).alias("types"))
 
 
