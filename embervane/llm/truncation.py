@@ -25,6 +25,8 @@ from embervane.session import Scratch, table
 LIMIT_EXCESS, LIMIT_TEXTS = 6.0, 5
 #: Texts, in the mean, that are cut at random places to learn the endings of cuts (all of them in a smaller corpus).
 SAMPLE_CUTS = 20_000
+#: A corpus of fewer texts than these cuts has each cut several times, at most so many.
+FEWEST_CUTS, MOST_TURNS = 5_000, 20
 #: Rates at which a word ends its line that tell kinds of endings apart.
 END_RATES = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3)
 
@@ -305,18 +307,19 @@ def _fit_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield combine(real, of("cut"), of("stop"))[[c.split()[0] for c in CELLS.split(", ")]]
 
 
-def tries(documents: DataFrame, rate: float) -> DataFrame:
-    """(doc_id, source, text, role) of a share of documents(doc_id, source, text), by hash: ended at a random place, every
-    other one with dots (role cut), and at the end of a random line before the last and outside code, which in prose must
+def tries(documents: DataFrame, rate: float, times: int = 1) -> DataFrame:
+    """(doc_id, source, turn, text, role) of a share of documents(doc_id, source, text), by hash, so many times each: ended at
+    a random place, every other one with dots (role cut), and at the end of a random line before the last and outside code, which in prose must
     be the last of its paragraph (role stop)."""
     some = documents.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1).where("length(text) > 1")
-    place = (1 + F.pmod(F.xxhash64("doc_id", F.lit(12)), F.greatest(F.lit(1), F.length("text") - 1))).cast("int")
-    dots = F.when(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(2)) == 0, "...").otherwise("")
-    cut = some.select("doc_id", "source", F.concat(F.rtrim(F.substring("text", F.lit(1), place), F.lit(SPACE)), dots).alias("text"), F.lit("cut").alias("role"))
+    some = some.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    place = (1 + F.pmod(F.xxhash64("doc_id", "turn", F.lit(12)), F.greatest(F.lit(1), F.length("text") - 1))).cast("int")
+    dots = F.when(F.pmod(F.xxhash64("doc_id", "turn", F.lit(13)), F.lit(2)) == 0, "...").otherwise("")
+    cut = some.select("doc_id", "source", "turn", F.concat(F.rtrim(F.substring("text", F.lit(1), place), F.lit(SPACE)), dots).alias("text"), F.lit("cut").alias("role"))
     lines = some.withColumn("lines", F.split(F.rtrim("text", F.lit(SPACE)), "\n")).where("size(lines) > 1")
-    upto = (1 + F.pmod(F.xxhash64("doc_id", F.lit(14)), F.greatest(F.lit(1), F.size("lines") - 1))).cast("int")
+    upto = (1 + F.pmod(F.xxhash64("doc_id", "turn", F.lit(14)), F.greatest(F.lit(1), F.size("lines") - 1))).cast("int")
     lines = lines.withColumn("upto", upto).where((F.trim(F.element_at("lines", F.col("upto") + 1)) == "") | (_form(F.element_at("lines", F.col("upto"))) != "prose"))
-    stop = lines.select("doc_id", "source", F.array_join(F.slice("lines", F.lit(1), F.col("upto")), "\n").alias("text"), F.lit("stop").alias("role"))
+    stop = lines.select("doc_id", "source", "turn", F.array_join(F.slice("lines", F.lit(1), F.col("upto")), "\n").alias("text"), F.lit("stop").alias("role"))
     return cut.unionByName(stop.where(F.size(F.split("text", "```")) % 2 == 1))
 
 
@@ -330,8 +333,9 @@ def scores(documents: DataFrame, sample_cuts: int = SAMPLE_CUTS) -> DataFrame:
     scratch = Scratch(documents.sparkSession)
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", source_name(F.col("source")).alias("source"), "text")
     ends = scratch.put(endings(docs.withColumn("role", F.lit("text"))).dropDuplicates(["doc_id"]), "endings")
-    rate = min(1.0, sample_cuts / max(1, ends.count()))
-    tried = scratch.put(endings(tries(docs, rate)).dropDuplicates(["doc_id", "role"]), "tried")
+    n = max(1, ends.count())
+    rate, times = min(1.0, sample_cuts / n), min(MOST_TURNS, -(-FEWEST_CUTS // n))
+    tried = scratch.put(endings(tries(docs, rate, times)).dropDuplicates(["doc_id", "role", "turn"]).drop("turn"), "tried")
     counts = scratch.put(line_counts(docs.select(F.rtrim("text", F.lit(SPACE)).alias("body"))), "line_counts")
     limits = scratch.put(length_limits(ends.select("source", "length")), "limits")
     judged = worded(ends.unionByName(tried), counts, openings(docs.select(F.col("text").alias("body"))))
