@@ -12,6 +12,19 @@ def _keys(ids: np.ndarray, sims: np.ndarray) -> np.ndarray:
     return (far << np.uint64(32)) | (ids.astype(np.uint64) & _IDS) << _ONE | _ONE
 
 
+def within(x: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact: (row of ``q``, row of ``x``, similarity) of every two at or above ``least``, similarities in the steps of the beam search."""
+    step, found = max(1, 8_000_000 // max(1, len(x))), []
+    for lo in range(0, len(q), step):
+        s = q[lo : lo + step] @ x.T
+        at = np.flatnonzero(s >= least - 1e-6)
+        s = 1 - np.rint(np.clip(1 - s.ravel()[at], 0, 4) * _SCALE) / _SCALE
+        at, s = at[s >= least], s[s >= least]
+        found.append((at // len(x) + lo, at % len(x), s))
+    none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+    return tuple(np.concatenate(c) for c in zip(none, *found))
+
+
 class PrunedGraph:
     """Directed graph over the rows of ``x`` (unit vectors, float32) for nearest neighbours by cosine.
 
@@ -119,16 +132,6 @@ class PrunedGraph:
         parts = [self._beam(q[lo : lo + rows], beam, None if start is None else start[lo : lo + rows], expand) for lo in range(0, len(q), rows)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
-    def within(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Exact: (row of ``q``, id, similarity) of every point at or above ``least``, similarities in the steps of the beam search."""
-        step, found = max(1, 8_000_000 // max(1, len(self.x))), []
-        for lo in range(0, len(q), step):
-            s = 1 - np.rint(np.clip(1 - q[lo : lo + step] @ self.x.T, 0, 4) * _SCALE) / _SCALE
-            r, ids = np.nonzero(s >= least)
-            found.append((r + lo, ids.astype(np.int32), s[r, ids]))
-        none = (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.float32))
-        return tuple(np.concatenate(c) for c in zip(none, *found))
-
     def _beam(self, q, beam, start, expand):
         """One sorted array of keys a query: distance, id and whether the id is still to be expanded, in 64 bits,
         so that one sort orders them, brings copies together and puts the expanded copy first."""

@@ -146,6 +146,25 @@ def test_equal_vectors(spark):
         assert set(near) == {0, 50, 100, 150, *range(1000, 1400, 50), 2000, 2050, 2100, 3000}
 
 
+def test_pairs_below_two_levels_send_few_copies(spark):
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(16, 48))
+    x = 0.65 * (centres / np.linalg.norm(centres, axis=1, keepdims=True))[rng.integers(0, 16, 5000)] + rng.normal(scale=0.11, size=(5000, 48))
+    x[:1000] = x[1000:2000] + rng.normal(size=(1000, 48)) * rng.uniform(0, 0.045, size=(1000, 1))  # on either side of the limit
+    x = x.astype(np.float32)
+    how = {"shard_rows": 20, "one_level": 16}
+    t = spark.createDataFrame([(i, "o", v.tolist()) for i, v in enumerate(x)], "token_id bigint, output_name string, embeddings array<float>").cache()
+    shards = N.fit_shards(t, {"o": 5000}, **how)
+    assert len(shards["o"].tops) == 16 and shards["o"].first[-1] > 60
+    assert N.route(t.withColumn("ask", F.lit(False)), shards, least=0.95).count() <= 2 * 5000
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    sure = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(s >= 0.95 + 1e-6))) if i < j}
+    got = [tuple(r) for r in N.similar_pairs(t, spark.createDataFrame([("o", 48)], "output_name string, embedding_dim int"), **how).collect()]
+    assert len(sure) > 300 and len(got) == len(set(got))
+    assert sure <= set(got) and all(s[p] >= 0.95 - 1e-6 for p in got)
+
+
 def test_reach_finds_every_partner():
     rng = np.random.default_rng(13)
     x = rng.normal(size=(3000, 6)).astype(np.float32)
